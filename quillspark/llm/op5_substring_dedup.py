@@ -263,6 +263,6 @@ c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM r),
 l AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(l.gone), 0) AS BIGINT) AS n_removed,
   sha256(array_to_string(CASE WHEN l.gone IS NULL THEN w.w ELSE
-    list_transform(list_filter(range(1, len(w.w) + 1), i -> NOT list_contains(l.gone, i)), i -> w.w[i]) END, ' ')) AS kept_sha256
+    list_transform(list_filter(range(1, len(w.w) + 1), lambda i: NOT list_contains(l.gone, i)), lambda i: w.w[i]) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN l ON w.doc_id = l.doc_id
 """
