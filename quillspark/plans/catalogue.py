@@ -1,4 +1,9 @@
 """Named queries over the test tables, and the same results in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import names
+
+MODULES = [names]
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
