@@ -4,7 +4,8 @@ Each text is a sequence of line IDs (64-bit hashes of whole lines; lines without
 sequence and stay in the text). Lines that occur once end every repeat, so only suffixes that start with a
 repeated line are ranked. Level k ranks suffixes by their first 2**k lines: the pair (rank here, rank 2**k lines
 on) is counted, and its distinct values are put in order by a range-partitioned running sum, so no group of equal
-lines ever meets in one task. A suffix alone with its pair is final. Unique lines and ends of texts sort before
+lines ever meets in one task. A suffix alone with its pair is final
+and takes no part in later levels. Unique lines and ends of texts sort before
 repeated lines, by their place. The ranks of all levels give each neighbour pair of the finished suffix array its
 longest common prefix: levels they share, then descending levels at shifted places. Neighbours with a common
 prefix of ``min_lines`` or more form intervals, the inner nodes that hold every maximal run of repeated lines;
@@ -41,48 +42,61 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2) -> tuple[DataFrame, Table
     """
     spark = docs.sparkSession
     tables = Tables(spark, "lines")
-    lines = tables.save(_lines(docs).distinct(), "lines")
+    lines = _lines(docs)
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():  # reads the ids only
+        lines = lines.distinct()
+    lines = tables.save(lines, "lines")
     count = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    # Level 0: ranks of repeated lines, by hash.
-    ranked = running_sum(tables, count, ["h"], "n", "g", "h")
-    r = lines.join(ranked.select("h", "g"), "h").select(*KEY, "pos", "line", "g", F.lit(True).alias("open"), F.array("g").alias("hist"))
-    r = tables.save(r, "level0")
-    levels = 0
-    while r.where("open").limit(1).count():
+    # Level 0: ranks of repeated lines, by hash. g: suffixes before the group; o: suffixes of open groups before it.
+    ranked = running_sum(tables, count, ["h"], {"n": "g"}, "h")
+    r = lines.join(ranked.select("h", "g"), "h").select(*KEY, "pos", "line", "g", F.col("g").alias("o"), F.array("g").alias("hist"))
+    r = r.withColumns({"open": F.lit(True), "level": F.lit(0)})
+    ranks = open_ = tables.save(r, "level0")  # ranks: the newest rank of every suffix; open_: those not alone yet
+    paths, levels = [], 0
+    while open_.limit(1).count():
         step = 1 << levels
-        ahead = r.select(*KEY, (F.col("pos") - step).alias("pos"), F.col("g").alias("g2"))
-        j = r.where("open").join(ahead, [*KEY, "pos"], "left")
+        ahead = ranks.select(*KEY, (F.col("pos") - step).alias("pos"), F.col("g").alias("g2"))
+        j = open_.join(ahead, [*KEY, "pos"], "left")
+        # the next key: the rank ahead, or (first in order) the place of a unique line or of the text's end
         none, zero = F.col("g2").isNull(), F.lit(0).cast("long")
-        j = j.select(*KEY, "pos", "line", "hist", "g", *(x.cast("long").alias(c) for c, x in (("t", F.when(none, 0).otherwise(1)), ("a", F.when(none, F.col("doc_id")).otherwise(F.col("g2"))), ("b", F.when(none, F.col("th")).otherwise(zero)), ("c", F.when(none, F.col("pos")).otherwise(zero)))))
-        done = r.where("NOT open").select(*KEY, "pos", "line", "hist", "g", *(zero.alias(c) for c in "tabc"))
-        pairs = tables.save(j.unionByName(done), "pairs")
+        j = j.select(*KEY, "pos", "line", "hist", "g", "o", *(x.cast("long").alias(c) for c, x in (("t", F.when(none, 0).otherwise(1)), ("a", F.when(none, F.col("doc_id")).otherwise(F.col("g2"))), ("b", F.when(none, F.col("th")).otherwise(zero)), ("c", F.when(none, F.col("pos")).otherwise(zero)))))
+        pairs = tables.save(j, "pairs")
         key = ["g", "t", "a", "b", "c"]
-        counts = pairs.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "pos", "line", "hist")).alias("one"))
-        ranked = running_sum(tables, counts, key, "n", "g_new", "rank")
-        alone = ranked.where("n = 1").select("one.*", F.col("g_new").alias("g"), F.lit(False).alias("open"))
-        many = pairs.join(ranked.where("n > 1").select(*key, "g_new"), key)
-        many = many.select(*KEY, "pos", "line", F.concat("hist", F.array("g_new")).alias("hist"), F.col("g_new").alias("g"), F.lit(True).alias("open"))
-        before, r = r, tables.save(alone.unionByName(many), f"level{levels + 1}")
-        tables.drop(before, pairs, ranked._quill_local)
+        counts = pairs.groupBy(*key).agg(F.count("*").alias("n")).withColumn("n_open", F.when(F.col("n") > 1, F.col("n")).otherwise(0))
+        ranked = running_sum(tables, counts, key, {"n": "before", "n_open": "o_new"}, "rank").select(*key, "n", "before", "o_new")
+        new = pairs.join(ranked, key).withColumn("g_new", F.col("g") + F.col("before") - F.col("o"))
+        hist = F.when(F.col("n") > 1, F.concat("hist", F.array("g_new"))).otherwise(F.col("hist"))
         levels += 1
-    # r: the suffix array; g is the place. Neighbours: equality of the shared levels' ranks, then descent.
+        new = new.select(*KEY, "pos", "line", F.col("g_new").alias("g"), F.col("o_new").alias("o"), hist.alias("hist"), (F.col("n") > 1).alias("open"), F.lit(levels).alias("level"))
+        new = tables.save(new, f"level{levels}")
+        tables.drop(pairs)
+        paths.append(new._quill_path)
+        ranks = spark.read.schema(new.schema).parquet(*paths).where((~F.col("open")) | (F.col("level") == levels))
+        open_ = new.where("open")
+    # ranks: the suffix array; g is the place. Neighbours: equality of the shared levels' ranks, then descent.
+    r = ranks
     sa = r.select(*KEY, "pos", "line", "g", "hist")
     prev = r.select((F.col("g") + 1).alias("g"), F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("pos").alias("p2"), F.col("hist").alias("hist2"))
     shared = F.size(F.filter(F.transform("hist", lambda x, i: F.get("hist2", i) == x), lambda x: x))
     p = sa.join(prev, "g").withColumn("k", shared - 1).where("k >= 0").select(*KEY, "pos", "g", "d2", "t2", "p2", "k", F.expr("cast(shiftleft(1L, k) as int)").alias("lcp"))
     p = tables.save(p, "neighbours")
-    top = levels - 1
-    for level in range(top - 1, -1, -1):
-        names = r.where(F.size("hist") > level).select("doc_id", "th", "pos", F.col("hist")[level].alias("name"))
-        todo = p.where(F.col("k") > level).select("g", "doc_id", "th", (F.col("pos") + F.col("lcp")).alias("pos"), "d2", "t2", (F.col("p2") + F.col("lcp")).alias("p2"))
-        here = todo.join(names, [*KEY, "pos"])
-        there = names.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("pos").alias("p2"), F.col("name").alias("name2"))
-        equal = here.join(there, ["d2", "t2", "p2"]).where("name = name2").select("g", F.lit(1 << level).alias("more"))
-        before, p = p, tables.save(p.join(equal, "g", "left").withColumn("lcp", F.col("lcp") + F.coalesce("more", F.lit(0))).drop("more"), f"lcp{level}")
-        tables.drop(before)
+    work = None  # pairs that share more than this level, with what they are known to share
+    for level in range(levels - 2, -1, -1):
+        more = p.where(F.col("k") == level + 1)
+        todo = more if work is None else work.unionByName(more)
+        names = r.where(F.size("hist") > level).select(*KEY, "pos", F.col("hist")[level].alias("name"))
+        here = names.select("doc_id", "th", F.col("pos").alias("at"), "name")
+        there = names.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("pos").alias("at2"), F.col("name").alias("name2"))
+        todo = todo.withColumns({"at": F.col("pos") + F.col("lcp"), "at2": F.col("p2") + F.col("lcp")})
+        met = todo.join(here, [*KEY, "at"], "left").join(there, ["d2", "t2", "at2"], "left")
+        lcp = F.col("lcp") + F.when(F.col("name") == F.col("name2"), 1 << level).otherwise(0)
+        before, work = work, tables.save(met.select(*KEY, "pos", "g", "d2", "t2", "p2", "k", lcp.alias("lcp")), f"lcp{level}")
+        if before is not None:
+            tables.drop(before)
+    p = p.where("k = 0").unionByName(work) if work is not None else p
     # Intervals: a new one starts where the common prefix with the suffix before is shorter than min_lines.
     lcp = sa.select(*KEY, "pos", "line", "g").join(p.select("g", "lcp"), "g", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
-    lcp = running_sum(tables, lcp.withColumn("new", (F.col("lcp") < min_lines).cast("long")), ["g"], "new", "before", "interval")
+    lcp = running_sum(tables, lcp.withColumn("new", (F.col("lcp") < min_lines).cast("long")), ["g"], {"new": "before"}, "interval")
     lcp = lcp.withColumn("interval", F.col("before") + F.col("new"))
     first = lcp.groupBy("interval").agg(F.min(F.struct(*KEY, "pos")).alias("f"), F.count("*").alias("copies")).where("copies > 1")
     runs = lcp.join(first, "interval").select(*KEY, "pos", "line", "interval", "lcp", "copies", (F.struct(*KEY, "pos") == F.col("f")).alias("first"))

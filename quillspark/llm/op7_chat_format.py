@@ -186,7 +186,7 @@ def repair(conversations: DataFrame) -> DataFrame:
     c = conversations.select(conv.alias("conv"), "turn", "role", "text").withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).cast("long"))
     if c.groupBy("conv", "block").count().where(F.col("count") > LARGEST).limit(1).count():
         # many turns with one number: blocks by place in the whole order instead
-        c = running_sum(tables, c.withColumn("one", F.lit(1)), ["conv", "turn", "role", "text"], "one", "place", "turns")
+        c = running_sum(tables, c.withColumn("one", F.lit(1)), ["conv", "turn", "role", "text"], {"one": "place"}, "turns")
         c = c.withColumn("block", F.floor(F.col("place") / BLOCK).cast("long"))
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))  # at most LARGEST turns
     blocks = tables.save(c.groupBy("conv", "block").agg(turns.alias("turns")), "blocks")

@@ -51,7 +51,8 @@ class Tables:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            _delete(self.spark, t._quill_path)
+            if getattr(t, "_quill_path", None):
+                _delete(self.spark, t._quill_path)
 
     def free_shuffles(self) -> None:
         """Lets Spark's cleaner remove the shuffle files of steps that are written already."""
@@ -94,21 +95,24 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], salt_by: str, ho
     return big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
-def running_sum(tables: Tables, df: DataFrame, order: list, value: str, out: str, tag: str) -> DataFrame:
-    """Exclusive running sum of ``value`` in the order of ``order`` without gathering all rows in one task:
-    ranges of the order are summed apart, then the (one row a range) totals are added up and joined."""
+def running_sum(tables: Tables, df: DataFrame, order: list, values: dict[str, str], tag: str) -> DataFrame:
+    """Exclusive running sums (``values``: column to name of its sum) in the order of ``order`` without gathering all
+    rows in one task: ranges of the order are summed apart, then the (one row a range) totals are added up and joined."""
     from pyspark.sql import Window
 
     n = partitions(df.sparkSession)
     ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = tables.save(ranged.withColumn("_run", F.sum(value).over(w) - F.col(value)), f"{tag}-ranges")
-    totals = local.groupBy("_pid").agg(F.sum(value).alias("_t"))
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(*upto)
+    local = tables.save(ranged.withColumns({f"_run_{v}": F.sum(v).over(w) - F.col(v) for v in values}), f"{tag}-ranges")
+    totals = local.groupBy("_pid").agg(*(F.sum(v).alias(f"_t_{v}") for v in values))
     # One row a range, so this window's size is the number of shuffle partitions.
-    starts = totals.select("_pid", (F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_t")).alias("_start"))
-    done = local.join(F.broadcast(starts), "_pid").withColumn(out, F.col("_run") + F.col("_start")).drop("_pid", "_run", "_start")
-    done._quill_local = local
-    return done
+    all_ = Window.orderBy("_pid").rowsBetween(*upto)
+    starts = totals.select("_pid", *((F.sum(f"_t_{v}").over(all_) - F.col(f"_t_{v}")).alias(f"_start_{v}") for v in values))
+    done = local.join(F.broadcast(starts), "_pid")
+    for v, out in values.items():
+        done = done.withColumn(out, F.col(f"_run_{v}") + F.col(f"_start_{v}")).drop(f"_run_{v}", f"_start_{v}")
+    return done.drop("_pid")
 
 
 _shipped: set[str] = set()
