@@ -5,7 +5,7 @@ first ``SPAN`` places; equal windows have equal pivots at equal offsets, and nei
 segment of text (at most window + SPAN - 1 words) stands for up to SPAN suffixes. Segments are split by the words from
 their pivot on: prefixes of K words that occur in one document only are dropped before any text moves; those with
 more than ``GROUP`` segments are split by longer prefixes, twice, so that a group fits in a task's memory. Each
-task builds the trees of its groups: suffixes are put in order by prefix doubling over the group's words, suffixes
+task builds the trees of its groups: the tree's nodes at depths 1, 2, 4 ... get names from their halves, suffixes
 that agree on the first ``window`` words are leaves below one deep inner node (a maximal repeat or a part of one), and
 a leaf whose node also has a leaf in a document with a smaller doc_id is a repeat. Groups that stay too large with the
 longest prefix that all windows of a segment hold are nearly one node each: their windows are counted by
@@ -22,6 +22,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,14 @@ from .store import Tables, arrow_rows, join_small, partitions
 GROUP = 20_000
 CHUNK = 4_000
 _LONG, _INT = pa.int64(), pa.int32()
+#: Bits for a place in a text: 16 million words.
+_PLACE = np.uint64(24)
 
 
 def _shape(window: int) -> tuple[int, int, tuple[int, int]]:
     """K, SPAN and the two longer prefix lengths; all lie within every window that has the pivot."""
     k = min(8, max(1, window // 2))
-    span = max(1, min(20, window - k))
+    span = max(1, min(32, window - k))
     longest = window - span + 1
     return k, span, (min(2 * k, longest), longest)
 
@@ -54,7 +57,14 @@ def pivots(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if n <= 0:
         none = np.empty(0, np.int64)
         return none, none, none, g
-    at = np.lib.stride_tricks.sliding_window_view(g, span)[:n].argmin(axis=1) + np.arange(n)
+    # hash above, place below: minima by doubling give the least hash's first place in every SPAN places
+    least = (g >> _PLACE << _PLACE) | np.arange(len(g), dtype=np.uint64)
+    have = 1
+    while have < span:
+        step = min(have, span - have)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        have += step
+    at = (least[:n] & ((np.uint64(1) << _PLACE) - np.uint64(1))).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     return first, np.concatenate([first[1:] - 1, [n - 1]]), at[first], g
 
@@ -106,21 +116,20 @@ def _segments(window: int) -> Callable:
 def deep_nodes(segments: list[list[bytes]], windows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Leaves of the trees over ``segments``: index of the segment, and the node of depth ``window`` above the leaf.
 
-    Numbers of nodes follow the order of the suffixes.
+    A node's name is made from those of its two halves, level by level, so that equal names are equal strings.
     """
-    ids: dict[bytes, int] = {}
-    text = np.fromiter((ids.setdefault(w, len(ids)) for s in segments for w in s), np.int64, sum(map(len, segments)))
-    rank, have = text, 1
+    text = pd.factorize(np.array([w for s in segments for w in s], object))[0]
+    name, have = text, 1
     while have < window:
         step = min(have, window - have)
-        ahead = np.full(len(rank), -1, np.int64)
-        ahead[: len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (len(text) + 2) + ahead + 1, return_inverse=True)[1]
+        ahead = np.full(len(name), -1, np.int64)
+        ahead[: len(name) - step] = name[step:]
+        name = pd.factorize(name * (len(text) + 2) + ahead + 1)[0]
         have += step
     begin = np.concatenate([[0], np.cumsum([len(s) for s in segments])[:-1]])
     segment = np.repeat(np.arange(len(segments)), windows)
     offset = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
-    return segment, rank[begin[segment] + offset]
+    return segment, name[begin[segment] + offset]
 
 
 _FOUND = "doc_id long, th long, start int, mask long"
@@ -170,43 +179,57 @@ def _hot_windows(window: int) -> Callable:
 
 
 def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, th (hash of the text), start, mask: windows start + i, for bit i of mask, start in a smaller doc_id too."""
+    """doc_id, th (hash of the text), start, mask: windows start + i, for bit i of mask, start in a smaller doc_id too.
+
+    Start -1: all windows of the text.
+    """
     spark = docs.sparkSession
     arrow_rows(spark)
     tables = Tables(spark, "substring")
     d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
     p = tables.save(d.mapInArrow(_pivot_rows(window), "p long, doc_id long, th long"), "pivots")
-    shared = p.groupBy("p").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("p")
+    # A text that a smaller doc_id has too is a repeat as a whole, and adds nothing to the trees.
+    texts = tables.save(p.groupBy("doc_id", "th").agg(F.count("*").alias("n")), "texts")
+    least = texts.groupBy("th").agg(F.min("doc_id").alias("least"))
+    copies = tables.save(texts.join(least, "th").where("doc_id > least").select("doc_id", "th"), "copies")
+    both = (F.min("doc_id") < F.max("doc_id")) & (F.min("th") < F.max("th"))
+    shared = p.groupBy("p").agg(both.alias("both")).where("both").select("p")
     want = p.join(shared, "p").groupBy("doc_id", "th").agg(F.collect_set("p").alias("want"))  # at most one text's pivots
-    want = tables.save(want, "wanted")
+    want = tables.save(want.join(copies, ["doc_id", "th"], "left_anti"), "wanted")
     tables.drop(p)
     tables.free_shuffles()
     seg = d.join(want, ["doc_id", "th"]).select("doc_id", "th", "want", "text")
     seg = tables.save(seg.mapInArrow(_segments(window), _SEGMENT), "segments")
     tables.drop(want)
     tables.free_shuffles()
-    # The shortest prefix whose group fits; at most rows / GROUP prefixes are too long, level by level.
-    rest, level = seg, []
+    # The shortest prefix whose group fits. Prefixes with too large a group are at most rows / GROUP, level by level.
+    large, rest = [], seg.select("p0", "p1", "p2", "start")
     for prefix in ("p0", "p1", "p2"):
-        large = tables.save(rest.groupBy(prefix).agg(F.count("*").alias("size")).where(F.col("size") > GROUP), f"large-{prefix}")
-        if not large.limit(1).count():
-            level.append(rest.withColumn("key", F.col(prefix)))
-            rest = None
+        found = tables.save(rest.groupBy(prefix).agg(F.count("*").alias(f"size_{prefix}")).where(F.col(f"size_{prefix}") > GROUP), f"large-{prefix}")
+        large.append(found)
+        if not found.limit(1).count():
             break
-        marked = join_small(rest, large, [prefix], "start", "left")
-        level.append(marked.where("size IS NULL").drop("size").withColumn("key", F.col(prefix)))
-        rest = marked.where("size IS NOT NULL").drop("size")
-    groups = level[0]
-    for more in level[1:]:
-        groups = groups.unionByName(more)
-    groups = groups.select("key", "doc_id", "th", "start", "windows", "words")
+        rest = tables.save(join_small(rest, found, [prefix], "start", "left_semi"), f"rest-{prefix}")
+    key, groups = F.col("p0"), seg
+    if len(large) == 3:  # groups too large with the longest prefix
+        groups = join_small(groups, large[2], ["p2"], "start", "left_anti")
+    if len(large) > 1:
+        groups = join_small(join_small(groups, large[0], ["p0"], "start", "left"), large[1], ["p1"], "start", "left")
+        key = F.when(F.col("size_p0").isNull(), F.col("p0")).when(F.col("size_p1").isNull(), F.col("p1")).otherwise(F.col("p2"))
+    groups = groups.select(key.alias("key"), "doc_id", "th", "start", "windows", "words")
     n = max(partitions(spark), seg.count() // 50_000)
     found = groups.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_trees(window), _FOUND)
-    if rest is not None:
+    if len(large) == 3:
+        rest = join_small(seg, large[2], ["p2"], "start", "left_semi")
         hot = tables.save(rest.mapInArrow(_hot_windows(window), "w long, doc_id long, th long, start int"), "hot")
         least = hot.groupBy("w").agg(F.min("doc_id").alias("least"))
         found = found.unionByName(hot.join(least, "w").where("doc_id > least").select("doc_id", "th", "start", F.lit(1).cast("long").alias("mask")))
-    return tables.save(found, "repeats")
+    whole = copies.select("doc_id", "th", F.lit(-1).alias("start"), F.lit(0).cast("long").alias("mask"))
+    out = tables.save(found.unionByName(whole), "repeats")
+    tables.drop(seg)
+    del found, groups, rest, seg
+    tables.free_shuffles()
+    return out
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept string"
@@ -222,6 +245,8 @@ def _remove(window: int, digest: bool) -> Callable:
             w = split(text)
             edge = np.zeros(len(w) + 1, np.int64)
             for x in found or ():
+                if x["start"] < 0:
+                    edge[0] += 1
                 for i in range(x["mask"].bit_length()):
                     if x["mask"] >> i & 1:
                         edge[x["start"] + i] += 1

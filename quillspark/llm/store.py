@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 DEFAULT_DIR = "/tmp/checkpoints"
 SALTS = 16
 #: Rows of a table that may be broadcast: at 300 bytes a row at most 15 MB.
@@ -91,6 +93,8 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], salt_by: str, ho
     beyond that both sides are dealt by the key and a salt, so that no hot group meets in one task."""
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
+    if how in ("left_semi", "left_anti"):
+        return big.join(small, on, how)  # a written side of keys only: Spark deals it by size, and splits hot keys
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
 
@@ -113,22 +117,3 @@ def running_sum(tables: Tables, df: DataFrame, order: list, values: dict[str, st
     for v, out in values.items():
         done = done.withColumn(out, F.col(f"_run_{v}") + F.col(f"_start_{v}")).drop(f"_run_{v}", f"_start_{v}")
     return done.drop("_pid")
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where PYTHONPATH doesn't lead to it already."""
-    import os
-    import shutil
-    import tempfile
-    from pathlib import Path
-
-    package = Path(__file__).resolve().parent.parent
-    app = spark.sparkContext.applicationId
-    if app in _shipped or str(package.parent) in map(os.path.realpath, os.environ.get("PYTHONPATH", "").split(":")):
-        return
-    top = os.path.realpath(tempfile.mkdtemp())
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{top}/quillspark", "zip", package.parent, package.name))
-    _shipped.add(app)
