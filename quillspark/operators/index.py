@@ -51,7 +51,8 @@ def _capped(pairs: DataFrame, key: str, cap: int) -> DataFrame:
 def symbol_index(records: DataFrame, cap: int = SYMBOL_CAP) -> DataFrame:
     """key, dense_id, ord: keys of name and path, the path also without its crate, first ``cap`` records of each."""
     path = X.norm_key("full_path")
-    keys = F.array(X.norm_key(X.base_name("name")), path, F.regexp_replace(path, "^[^:]+::", ""))
+    leaf, owner = X.norm_key(X.base_name("name")), X.norm_key(X.base_name("owner"))
+    keys = F.array(leaf, path, F.regexp_replace(path, "^[^:]+::", ""), F.when(owner != "", F.concat_ws("::", owner, leaf)).otherwise(""))
     pairs = records.where("source = 'rustdoc'").select(F.explode(F.array_distinct(keys)).alias("key"), "dense_id").where("key <> ''")
     return _capped(pairs, "key", cap)
 

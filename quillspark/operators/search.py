@@ -114,8 +114,9 @@ def hybrid_search(records: DataFrame, query: str, filters: Column | None = None,
     terms, surfaces, subj, wanted = X.py_query_terms(query), X.py_query_words(query), X.py_subjects(query), X.py_norm_key(query)
     ok = F.lit(True) if filters is None else filters
     keep = [c for c in ("dense_id", "kind", "source", "name", "owner", "full_path", "module", "docs", "signature") if c in records.columns]
-    r = records.select(*records.columns, X.norm_key(X.base_name("name")).alias("_k"), X.norm_key("full_path").alias("_p"))
-    exact = r.where(((F.col("_k") == wanted) | (F.col("_p") == wanted)) & ok)
+    r = records.select(*records.columns, X.norm_key(X.base_name("name")).alias("_k"), X.norm_key("full_path").alias("_p"), F.concat_ws("::", X.norm_key(X.base_name("owner")), X.norm_key(X.base_name("name"))).alias("_o"))
+    stripped = F.regexp_replace("_p", "^[^:]+::", "")
+    exact = r.where(((F.col("_k") == wanted) | (F.col("_p") == wanted) | (F.col("_o") == wanted) | (stripped == wanted)) & ok)
     exact = exact.select("dense_id", (10000 + F.when((F.col("_p") == wanted) & F.lit("::" in wanted), 1100.0).otherwise(1000.0) * record_weight()).alias("score"))
     if not terms:
         return exact.orderBy(F.desc("score"), "dense_id").limit(limit)

@@ -42,7 +42,7 @@ def functions(code: str) -> list[tuple[str, list[str]]]:
         at = m.end() - (1 if m[2] else 0)
         depth, i = 0, at
         while i < len(code) and (depth or code[i] != "("):
-            depth += {"<": 1, ">": -1}.get(code[i], 0)
+            depth += 1 if code[i] == "<" else -1 if code[i] == ">" and code[i - 1] != "-" else 0
             i += 1
         depth, j = 0, i
         while j < len(code):
