@@ -50,7 +50,9 @@ def _split(nodes: DataFrame, parent: list[str]) -> DataFrame:
     # The level if just the children before this one are full; the first child that stays below its capacity sets it.
     n = n.withColumn("level", F.when(open_, (F.col("budget") - F.col("full_before")) / F.when(open_, F.col("w_rest"))))
     n = n.withColumn("water", F.min(F.when(F.col("level") <= F.col("r"), F.struct("r", "level"))).over(family)["level"])
-    share = F.when(~open_, 0.0).otherwise(F.least(F.col("cap").cast("double"), F.coalesce(F.greatest(F.col("water"), F.lit(0.0)) * F.col("weight"), F.col("cap").cast("double"))))
+    cap = F.col("cap").cast("double")
+    filled = F.when(F.col("water").isNull(), cap).otherwise(F.least(cap, F.greatest(F.col("water"), F.lit(0.0)) * F.col("weight")))
+    share = F.when(open_, filled).otherwise(0.0)
     return n.withColumn("share", share).drop("r", "full_before", "w_rest", "level", "water")
 
 
