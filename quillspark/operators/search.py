@@ -41,22 +41,28 @@ def passes(kind: str | None = None, source: str | None = None, module: str | Non
     return reduce(lambda a, b: a & b, conditions)
 
 
+def prepare(records: DataFrame) -> DataFrame:
+    """Adds what relevance and coverage look at, so that each name is split once a row and not once a subject."""
+    raw = X.base_name("name")
+    words = {"_words": X.name_tokens(raw), "_owner": X.name_tokens(X.base_name("owner")), "_path": X.name_tokens("full_path"), "_module": X.name_tokens("module")}
+    out = records.withColumns({"_raw": F.lower(raw), "_leaf": X.norm_key(raw), **words})
+    single = lambda c: F.concat(c, F.transform(c, X.singular))
+    return out.withColumns({"_one": X.singular("_leaf"), "_words": single(F.col("_words")), "_module": single(F.col("_module"))})
+
+
 def relevance(subjects: list[str], surfaces: list[str]) -> Column:
-    """Evidence that a record is what the subjects name: name over owner over path, plus module and kind. The subjects are
-    the caller's few literals, so the fold over them is written out as one expression."""
+    """Evidence that a prepared record is what the subjects name: name over owner over path, plus module and kind. The
+    subjects are the caller's few literals, so the fold over them is written out as one expression."""
     if not subjects:
         return F.lit(1.0)
-    raw = X.base_name("name")
-    leaf, leaf_words = X.norm_key(raw), X.name_tokens(raw)
-    one = X.singular(leaf)
-    owner, path, module = X.name_tokens(X.base_name("owner")), X.name_tokens("full_path"), X.name_tokens("module")
-    exact = F.lower(raw).isin(*surfaces) if surfaces else F.lit(False)
-    typed = exact & ~F.lower(raw).isin(*INTENTS)
+    raw, leaf, one, words, owner, path, module = (F.col(f"_{c}") for c in ("raw", "leaf", "one", "words", "owner", "path", "module"))
+    exact = raw.isin(*surfaces) if surfaces else F.lit(False)
+    typed = exact & ~raw.isin(*INTENTS)
     score = F.lit(1.0) + F.when(typed, F.when(one == subjects[0], 10.5).otherwise(8.0)).otherwise(0.0)
     hits = F.when(typed, 1).otherwise(0)
     for k, s in enumerate(subjects):
         first = k == 0
-        named = F.array_contains(leaf_words, s) | F.array_contains(F.transform(leaf_words, X.singular), s)
+        named = F.array_contains(words, s)
         within = leaf.contains(s) if len(s.encode()) > 3 else F.lit(False)
         skip = exact & (one == s)
         gain = F.when(skip, 0.0).when(one == s, 6.5 if first else 4.0).when(named, 3.7 if first else 2.2).when(within, 2.9 if first else 1.4)
@@ -65,14 +71,13 @@ def relevance(subjects: list[str], surfaces: list[str]) -> Column:
     score += F.when(hits > 1, (hits - 1) * 1.2).otherwise(0.0)
     if len(subjects) > 1:
         score += F.when(hits == len(subjects), 3.0).otherwise(0.0)
-    cover = [F.when(F.array_contains(module, s) | F.array_contains(F.transform(module, X.singular), s), 1).otherwise(0) for s in subjects]
+    cover = [F.when(F.array_contains(module, s), 1).otherwise(0) for s in subjects]
     score += F.least(reduce(lambda a, b: a + b, cover), F.lit(2)) * 1.5
     return score + F.when(F.col("kind").isin(*DEFINITIONS), 0.5).otherwise(0.0)
 
 
 def name_coverage(subjects: list[str]) -> Column:
-    words = F.transform(X.name_tokens(X.base_name("name")), X.singular)
-    return F.size(F.array_intersect(words, F.array(*map(F.lit, subjects)))) if subjects else F.lit(0)
+    return F.size(F.array_intersect("_words", F.array(*map(F.lit, subjects)))) if subjects else F.lit(0)
 
 
 def docs_coverage(subjects: list[str]) -> Column:
@@ -129,11 +134,11 @@ def hybrid_search(records: DataFrame, query: str, filters: Column | None = None,
     strict = records.where(F.forall(F.array(*map(F.lit, terms)), lambda t: F.array_contains(every, t))).select("dense_id")
     cut = [F.desc("bm25"), "dense_id"]
     in_pool = raw.join(strict, "dense_id", "left_semi").orderBy(*cut).limit(pool).unionByName(raw.orderBy(*cut).limit(pool)).distinct()
-    text = records.select(*keep).join(in_pool, "dense_id").where(ok).select("dense_id", (F.col("bm25") * weight * boost * docs_coverage(subj)).alias("text_raw"))
+    text = prepare(records.where(ok).select(*keep)).join(in_pool, "dense_id").select("dense_id", (F.col("bm25") * weight * boost * docs_coverage(subj)).alias("text_raw"))
     concept = (name_coverage(subj) > 0) & (F.col("kind").isin(*DEFINITIONS) | (name_coverage(subj) == len(subj)))
     tokens = X.name_tokens(X.base_name("name"))
-    names = records.where((F.col("source") == "rustdoc") & (F.col("kind") != "field") & F.arrays_overlap(tokens, F.array(*map(F.lit, terms))) & ok & (name_coverage(subj) > 0))
-    names = names.select("dense_id", (F.when(concept, 240.0).otherwise(90.0) * weight * boost).alias("name_raw"))
+    names = records.where((F.col("source") == "rustdoc") & (F.col("kind") != "field") & F.arrays_overlap(tokens, F.array(*map(F.lit, terms))) & ok)
+    names = prepare(names).where(name_coverage(subj) > 0).select("dense_id", (F.when(concept, 240.0).otherwise(90.0) * weight * boost).alias("name_raw"))
     names = names.join(F.broadcast(exact.limit(1).select(F.lit(1).alias("_e"))), F.lit(True), "left_anti")
     merged = text.join(names, "dense_id", "full_outer").join(exact.select("dense_id"), "dense_id", "left_anti")
     top = merged.agg(F.max("text_raw").alias("top"))

@@ -156,7 +156,7 @@ def record_weight(spark, sf):
 
 @query(f"SELECT dense_id, CAST(round(1.0 + CASE WHEN name LIKE 'Red%' AND name LIKE '%Widget' THEN 3.7 + 2.2 + 1.2 + 3.0 WHEN name LIKE 'Red%' THEN 3.7 WHEN name LIKE '%Widget' THEN 2.2 ELSE 0 END, 6) AS DOUBLE) AS boost FROM {PARTS}")
 def relevance_boost(spark, sf):
-    return R.parts(spark, sf).select("dense_id", F.round(S.relevance(["red", "widget"], ["reds", "widgets"]), 6).alias("boost"))
+    return S.prepare(R.parts(spark, sf)).select("dense_id", F.round(S.relevance(["red", "widget"], ["reds", "widgets"]), 6).alias("boost"))
 
 
 @query(f"SELECT dense_id FROM {PARTS} WHERE (kind = 'standard' OR kind LIKE '%standard%') AND lower(module) LIKE '%par%'")
@@ -176,7 +176,7 @@ def hybrid_merge(spark, sf):
     subj = ["red", "gear"]
     concept = (S.name_coverage(subj) > 0) & (F.col("kind").isin(*DEFINITIONS) | (S.name_coverage(subj) == len(subj)))
     raw = F.when(concept, 240.0).otherwise(90.0) * S.record_weight() * S.relevance(subj, subj)
-    return R.parts(spark, sf).where(S.name_coverage(subj) > 0).select("dense_id", F.round(raw, 6).alias("name_raw"))
+    return S.prepare(R.parts(spark, sf)).where(S.name_coverage(subj) > 0).select("dense_id", F.round(raw, 6).alias("name_raw"))
 
 
 @query()
