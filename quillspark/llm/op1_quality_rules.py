@@ -26,8 +26,8 @@ SPACE = "[ \\t-\\r]"
 RIDGE = {"x_len": 0.06, "x_sym": 0.10, "x_upper": 0.05, "x_dup": 0.12, "x_rep": 0.12}
 X = list(RIDGE)
 P = len(X)
-#: Chi-square quantiles with five degrees of freedom: the median, and the upper 1e-9 tail.
-CHI2_MEDIAN, CHI2_CUT = 4.3515, 50.8
+#: Chi-square quantiles with five degrees of freedom: the median, and 0.999.
+CHI2_MEDIAN, CHI2_CUT = 4.3515, 20.515
 STARTS = 3
 
 

@@ -49,6 +49,15 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in junk)
 
 
+def test_pipe_separated_texts_go(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    prose = [(i, " ".join(word() for _ in range(rng.randint(60, 300))), "en", "s0") for i in range(300)]
+    pipes = [(1000 + i, " ".join("|" if k % 5 in (1, 3) else word() for k in range(rng.randint(100, 300))), "en", "s0") for i in range(20)]
+    got = {r.doc_id: r.kept for r in q1.judge(table(spark, prose + pipes)).collect()}
+    assert [i for i, *_ in prose if not got[i]] == [] and [i for i, *_ in pipes if got[i]] == []
+
+
 def brute_lines(rows, n):
     seen, gone = {}, collections.defaultdict(set)
     for d, t in rows:
