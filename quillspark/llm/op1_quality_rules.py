@@ -9,8 +9,9 @@ singular. Rows beyond the chi-square cutoff are rejected. Everything is DataFram
 factor of the p x p scatter is written out as columns of the small table of groups.
 
 Cases: null or empty text has no words, fails the base rules and stays out of the estimates. Null lang or source
-is a group like any other. Groups under ``min_group`` rows are pooled by language, then all together; a pool that
-is still too small rejects nothing. Repeated rows and repeated ids are judged row by row. An empty table gives an
+is a group like any other. Groups under ``min_group`` rows are pooled by language, then all together; where these
+leftovers are still too few, each is judged by the estimate of its whole language (large groups too), or of the whole table
+if the language is too small. A table of fewer rows rejects nothing. Repeated rows and repeated ids are judged row by row. An empty table gives an
 empty result. Other columns of the input are ignored, whatever they are called.
 """
 
@@ -63,12 +64,24 @@ def _median(c: Column) -> Column:
 
 
 def _groups(stats: DataFrame, tables: Tables, min_group: int) -> DataFrame:
-    """Each (lang, source) with the pool it is judged in; the pools are small tables of counts."""
+    """Each (lang, source) with the pool it is judged in, and pools it only lends its rows to (not ``judged``)."""
     n = tables.save(stats.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n")), "groups")
     by_lang = n.where(F.col("n") < min_group).groupBy("lang").agg(F.sum("n").alias("n_lang"))
     own, lang = F.to_json(F.struct(F.lit("g"), "lang", "source")), F.to_json(F.struct(F.lit("l"), "lang"))
     pool = F.when(F.col("n") >= min_group, own).when(F.col("n_lang") >= min_group, lang).otherwise(F.lit("all"))
-    return tables.save(n.join(by_lang, "lang", "left").select("lang", "source", pool.alias("g")), "pools")
+    pools = tables.save(n.join(by_lang, "lang", "left").select("lang", "source", "n", pool.alias("g"), F.lit(True).alias("judged")), "pools")
+    left = pools.where("g = 'all'")
+    if (left.agg(F.sum("n")).first()[0] or min_group) >= min_group:
+        return pools.drop("n")
+    # Too few leftovers for an estimate of their own: that of all groups of the language, or of the table.
+    whole = F.when(F.col("n_whole") >= min_group, F.to_json(F.struct(F.lit("w"), "lang"))).otherwise("table")
+    left = left.join(n.groupBy("lang").agg(F.sum("n").alias("n_whole")), "lang").select("lang", "source", whole.alias("g"))
+    left = tables.save(left, "leftovers")
+    of_lang = n.join(left.where("g <> 'table'").select("lang", "g").distinct(), "lang").select("lang", "source", "g")
+    of_table = n.crossJoin(left.where("g = 'table'").select("g").distinct()).select("lang", "source", "g")
+    lent = of_lang.union(of_table).join(left, ["lang", "source", "g"], "left_anti").withColumn("judged", F.lit(False))
+    own = pools.where("g <> 'all'").select("lang", "source", "g", "judged")
+    return tables.save(own.union(left.withColumn("judged", F.lit(True))).union(lent), "pools-whole")
 
 
 def _distance(x: list[Column]) -> Column:
@@ -136,7 +149,7 @@ def judge(docs: DataFrame, h: float = 0.75, steps: int = 3, min_group: int = 50,
     dist = join_small(v, best, ["g"], "doc_id", "left").withColumn("d2", _distance([F.col(x) for x in X]))
     # The trimmed scatter is too small by a factor that the median distance shows; it never widens the ridge.
     factor = tables.save(dist.where("not base_failed").groupBy("g").agg(F.greatest(_median(F.col("d2")) / CHI2_MEDIAN, F.lit(1.0)).alias("f"), F.count("*").alias("n_g")), "factor")
-    out = join_small(dist, factor, ["g"], "doc_id", "left").withColumn("distance2", F.when(F.col("n_g") >= min_group, F.col("d2") / F.col("f")))
+    out = join_small(dist.where(F.coalesce("judged", F.lit(True))), factor, ["g"], "doc_id", "left").withColumn("distance2", F.when(F.col("n_g") >= min_group, F.col("d2") / F.col("f")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))
     value = lambda c: F.when(F.col(c) != "", F.expr(f"substr({c}, 2)")).alias(c)
     return out.select("doc_id", value("lang"), value("source"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")

@@ -58,6 +58,21 @@ def test_pipe_separated_texts_go(spark):
     assert [i for i, *_ in prose if not got[i]] == [] and [i for i, *_ in pipes if got[i]] == []
 
 
+def test_few_leftovers_are_judged_by_whole_language_or_table(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    text = lambda end="": " ".join(word() + end for _ in range(rng.randint(100, 300)))
+    large = [(i, text(), "en", f"s{i % 2}") for i in range(200)]
+    few = [(1000 + i, text(), *k) for i, k in enumerate([("en", "s7")] * 12 + [("de", "s0")] * 3 + [(None, None)])]
+    junk = [(2000 + i, text("###"), *k) for i, k in enumerate([("en", "s7"), ("de", "s0"), ("de", "s1"), (None, None)])]
+    short = [(3000, "too short", "en", "s7"), (3001, "too short", "it", None)]
+    got = q1.judge(table(spark, large + few + junk + short)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, *_ in large + few + junk + short)
+    assert {r.doc_id for r in got if not r.kept} == {d for d, *_ in junk + short}
+    alone = {r.doc_id: r.distance2 for r in q1.judge(table(spark, large)).collect()}
+    assert all(r.distance2 == pytest.approx(alone[r.doc_id]) for r in got if r.doc_id in alone)
+
+
 def brute_lines(rows, n):
     seen, gone = {}, collections.defaultdict(set)
     for d, t in rows:
