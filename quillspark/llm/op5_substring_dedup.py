@@ -33,8 +33,6 @@ from .store import Tables, arrow_rows, join_small, partitions
 GROUP = 20_000
 CHUNK = 4_000
 _LONG, _INT = pa.int64(), pa.int32()
-#: Bits for a place in a text: 16 million words.
-_PLACE = np.uint64(24)
 
 
 def _shape(window: int) -> tuple[int, int, tuple[int, int]]:
@@ -57,14 +55,14 @@ def pivots(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if n <= 0:
         none = np.empty(0, np.int64)
         return none, none, none, g
-    # hash above, place below: minima by doubling give the least hash's first place in every SPAN places
-    least = (g >> _PLACE << _PLACE) | np.arange(len(g), dtype=np.uint64)
-    have = 1
+    # minima by doubling give the least hash and its first place in every SPAN places
+    least, at, have = g, np.arange(len(g)), 1
     while have < span:
         step = min(have, span - have)
-        least = np.minimum(least[: len(least) - step], least[step:])
+        later = least[step:] < least[: len(least) - step]
+        least, at = np.where(later, least[step:], least[: len(least) - step]), np.where(later, at[step:], at[: len(at) - step])
         have += step
-    at = (least[:n] & ((np.uint64(1) << _PLACE) - np.uint64(1))).astype(np.int64)
+    at = at[:n]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     return first, np.concatenate([first[1:] - 1, [n - 1]]), at[first], g
 

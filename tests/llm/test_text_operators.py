@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,16 @@ def test_substrings(spark, monkeypatch, window, group):
         assert (r.n_words, r.n_removed, r.kept) == (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
 
 
+def test_pivots_of_a_text_beyond_16_million_words():
+    h = np.random.default_rng(9).integers(0, 1 << 63, (1 << 24) + 2_000, np.uint64)
+    tail = 1_500
+    first, last, at, g = q5.pivots(h, 50)
+    assert (first <= at).all() and (at < last + 50).all() and last[-1] == len(h) - 50
+    # the pivots of the end don't depend on what comes before it
+    end = q5.pivots(h[-tail:], 50)[2] + len(h) - tail
+    assert np.array_equal(at[at >= end[1]], end[1:])
+
+
 @pytest.mark.parametrize("small", [6, 1])
 def test_jaccard_components(spark, monkeypatch, small):
     monkeypatch.setattr(q6, "SMALL", small)
