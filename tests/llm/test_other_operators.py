@@ -11,6 +11,7 @@ from quillspark.llm import op4_mixing as q4
 from quillspark.llm import op7_chat_format as q7
 from quillspark.llm import op8_quality_crf as q8
 from quillspark.llm import op9_license_scan as q9
+from quillspark.llm import components as Components
 from quillspark.llm.components import components
 from quillspark.llm.store import Tables
 
@@ -150,14 +151,16 @@ def test_licences_and_inheritance(spark):
     assert q9.scan(d).count() == 9 and q9.scan(d.where("false")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [8, 200_000])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(Components, "LOCAL", local)
     rng = random.Random(6)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]
     label = {x: x for e in edges for x in e}
     for _ in label:
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
-    got = {r.node: r.c for r in components(Tables(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.c for r in components(Tables(spark, "t"), spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
     assert got == {x: c for x, c in label.items() if any(a != b and x in (a, b) for a, b in edges)}
 
 

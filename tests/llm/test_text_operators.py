@@ -122,7 +122,7 @@ def test_pivots_of_a_text_beyond_16_million_words():
     assert np.array_equal(at[at >= end[1]], end[1:])
 
 
-@pytest.mark.parametrize("small", [6, 1])
+@pytest.mark.parametrize("small", [32, 0])
 def test_jaccard_components(spark, monkeypatch, small):
     monkeypatch.setattr(q6, "SMALL", small)
     rng = random.Random(4)
@@ -147,6 +147,29 @@ def test_jaccard_components(spark, monkeypatch, small):
     assert got == {d: (len(s), label[d]) for d, s in sets.items()}
 
 
+@pytest.mark.parametrize(("small", "seed"), [(0, 1), (1, 2), (4, 3)])
+def test_jaccard_of_many_near_copies(spark, monkeypatch, small, seed):
+    """Large groups go by leads and differences, round after round; blocks and parts are many."""
+    monkeypatch.setattr(q6, "SMALL", small)
+    monkeypatch.setattr(q6, "BLOCK", 900)
+    rng = random.Random(seed)
+    bases = [[f"b{i}w{j}" for j in range(60)] for i in range(3)]
+    rows = []
+    for i in range(150):
+        w = list(bases[i % 3])
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            w[rng.randrange(60)] = rng.choice("pqrst")
+        rows.append((i, " ".join(w)))
+    sets = [set(q6.shingle_set(t, 4).tolist()) for _, t in rows]
+    label = list(range(150))
+    for a in range(150):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    got = {r.doc_id: r.component_id for r in q6.join(table(spark, rows).repartition(3)).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_spaced_seeds_bear_substitutions(spark):
     item = [f"token{i}" for i in range(30)]
     changed = [w if i not in (9, 20) else "other" for i, w in enumerate(item)]
