@@ -13,8 +13,9 @@ hash, then by the next eight within the bucket that holds the cut, and only the
 in 65,536 of the leaf) are put in order.
 
 Cases: null text has no tokens; documents without tokens are never drawn. Null keys are leaves of their own.
-Leaves with weight 0 or less get nothing. Rows with equal hashes order (same id and text) are taken together or not.
-Budgets above the whole capacity give every epoch of every leaf. Empty tables give an empty result.
+Leaves with weight 0 or less get nothing. Equal rows of a leaf (id and text) are one unit: taken together or not, each with the
+same ``copies``; equal rows of different leaves are drawn by their own leaf's budget. Rows without an id are told apart by
+their texts. Very long texts only count their tokens. A column named ``copies`` of the input is replaced; other columns stay. Budgets above the whole capacity give every epoch of every leaf. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ LEVELS = ["domain", "lang", "source"]
 
 def _hash32(seed: int, epoch: Column) -> Column:
     """32 bits from SHA-256, so that any SQL engine gives the same order."""
-    key = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text"), F.col("th").cast("string"))))
     return F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long")
 
 
@@ -90,8 +91,11 @@ def mix(docs: DataFrame, total_share: float = 1.0, max_epochs: int = 4, weights:
     tables = Tables(spark, "mix")
     tokens = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+", -1), "")).cast("long")
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(c)  # noqa: E731  never null
-    rows = tables.save(docs.select("doc_id", *(key(c) for c in LEVELS), tokens.alias("tok"), F.xxhash64("text").alias("th")), "tokens")
-    leaves = tables.save(rows.where("tok > 0").groupBy(*LEVELS).agg(F.sum("tok").alias("tokens")), "leaves")
+    # equal rows of a leaf are one unit from here on
+    unit = [*LEVELS, "doc_id", "th"]
+    rows = docs.select("doc_id", *(key(c) for c in LEVELS), tokens.alias("tok"), F.xxhash64("text").alias("th")).where("tok > 0")
+    rows = tables.save(rows.groupBy(*unit).agg(F.sum("tok").alias("tok")), "tokens")
+    leaves = tables.save(rows.groupBy(*LEVELS).agg(F.sum("tok").alias("tokens")), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     if weights is not None:
         weights = weights.withColumns({c: F.when(F.col("level").isin(LEVELS[LEVELS.index(c):]), F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))) for c in LEVELS})
@@ -99,7 +103,7 @@ def mix(docs: DataFrame, total_share: float = 1.0, max_epochs: int = 4, weights:
     # Whole epochs, and what is left for the prefix of one more.
     plan = plan.withColumn("whole", F.floor(F.col("budget") / F.col("tokens"))).withColumn("left", F.col("budget") - F.col("whole") * F.col("tokens"))
     plan = tables.save(plan.select(*LEVELS, "whole", "left"), "plan")
-    r = join_small(rows.where("tok > 0"), plan, LEVELS, "doc_id").withColumn("h", _hash32(seed, F.col("whole")))
+    r = join_small(rows, plan, LEVELS, "th").withColumn("h", _hash32(seed, F.col("whole")))
     r = tables.save(r, "hashed")
     cut, todo, done = None, r, None
     for shift, name in ((24, "b1"), (16, "b2")):
@@ -109,18 +113,18 @@ def mix(docs: DataFrame, total_share: float = 1.0, max_epochs: int = 4, weights:
         w = Window.partitionBy(*keys).orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         sums = sums.withColumn("upto", F.sum("t").over(w))
         whole = tables.save(sums.groupBy(*keys, "left").agg(F.min(F.when(F.col("upto") > F.col("left"), F.struct(F.col(name), (F.col("left") - F.col("upto") + F.col("t")).alias("rest")))).alias("c")), f"cut-{name}")
-        j = join_small(todo.drop("left"), whole, keys, "doc_id")
-        sure = j.where(F.col("c").isNull() | (F.col(name) < F.col("c")[name])).select("doc_id", "th", *LEVELS, F.lit(1).alias("extra"))
+        j = join_small(todo.drop("left"), whole, keys, "th")
+        sure = j.where(F.col("c").isNull() | (F.col(name) < F.col("c")[name])).select(*unit, F.lit(1).cast("long").alias("copies"))
         done = sure if done is None else done.unionByName(sure)
         todo = j.where(F.col(name) == F.col("c")[name]).withColumn("left", F.col("c.rest")).drop("c")
         cut = name
     w = Window.partitionBy(*LEVELS).orderBy("h", "doc_id", "th").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = todo.withColumn("upto", F.sum("tok").over(w)).where("upto <= left").select("doc_id", "th", *LEVELS, F.lit(1).alias("extra"))
-    extra = done.unionByName(last).groupBy("doc_id", "th").agg(F.max("extra").alias("extra"))
-    drawn = r.select("doc_id", "th", "whole").distinct().join(extra.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "extra"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
-    drawn = drawn.select(F.col("doc_id").alias("_q4_doc"), F.col("th").alias("_q4_hash"), (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies")).where("copies > 0")
+    last = todo.withColumn("upto", F.sum("tok").over(w)).where("upto <= left").select(*unit, F.lit(1).cast("long").alias("copies"))
+    drawn = done.unionByName(last).unionByName(r.where("whole > 0").select(*unit, F.col("whole").alias("copies"))).groupBy(*unit).agg(F.sum("copies").alias("copies"))
+    drawn = drawn.select(*(F.col(c).alias(f"_q4_{c}") for c in unit), "copies")
     out = docs.drop("copies") if "copies" in docs.columns else docs
-    return out.join(drawn, out["doc_id"].eqNullSafe(F.col("_q4_doc")) & (F.xxhash64(out["text"]) == F.col("_q4_hash"))).drop("_q4_doc", "_q4_hash")
+    same = [key(c) == F.col(f"_q4_{c}") for c in LEVELS] + [out["doc_id"].eqNullSafe(F.col("_q4_doc_id")), F.xxhash64(out["text"]) == F.col("_q4_th")]
+    return out.join(drawn, same).drop(*(f"_q4_{c}" for c in unit))
 
 
 def domain_of(source: str = "source") -> Column:

@@ -1,5 +1,6 @@
 """Mixing, chat repair, the line CRF, licence scans, components and the pipeline."""
 
+import hashlib
 import itertools
 import random
 
@@ -55,6 +56,37 @@ def test_mixing_awkward(spark):
     assert q4.mixture(d.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 1.0])
+def test_mixing_against_plain_epochs(spark, share):
+    """Equal ids and texts under several leaves, null ids and repeated rows, against a sort of each leaf."""
+    rng = random.Random(int(share * 10))
+    rows = [(i if i % 7 else None, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 9))), f"d{i % 2}", "en", f"s{i % 3}") for i in range(120)]
+    rows += [(500, "a b c", "d0", "en", "s0"), (500, "a b c", "d1", "en", "s0"), (500, "a b c", "d1", "en", "s0"), (500, "a b", "d1", "en", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string, lang string, source string")
+    weights = spark.createDataFrame([("domain", "d0", None, None, 4.0)], "level string, domain string, lang string, source string, weight double")
+    th = {(r.doc_id, r.text): r.th for r in docs.select("doc_id", "text", F.xxhash64("text").alias("th")).collect()}
+    leaves = {}
+    for doc, text, *leaf in rows:
+        if text:
+            unit = leaves.setdefault(tuple(leaf), {})
+            unit[doc, text] = unit.get((doc, text), 0) + len(text.split())
+    plan = q4.leaf_budgets(spark.createDataFrame([(*k, sum(v.values())) for k, v in leaves.items()], "domain string, lang string, source string, tokens long"), weights, share * sum(sum(v.values()) for v in leaves.values()), 4)
+    want = {}
+    for r in plan.collect():
+        unit = leaves[r.domain, r.lang, r.source]
+        whole, left = divmod(r.budget, r.tokens)
+        order = sorted(unit, key=lambda u: (hashlib.sha256(f"17:{whole}:{u[0] if u[0] is not None else f'text{th[u]}'}".encode()).hexdigest()[:8], u[0] is not None, u[0] or 0, th[u]))
+        for u in order:
+            left -= unit[u]
+            if n := whole + (left >= 0):
+                want[r.domain, r.lang, r.source, *u] = n
+            if left < 0:
+                left = -1 << 60
+    got = [((r.domain, r.lang, r.source, r.doc_id, r.text), r.copies) for r in q4.mix(docs, share, 4, weights).collect()]
+    assert dict(got) == want
+    assert sorted(map(repr, (k for k, _ in got))) == sorted(repr((*leaf, doc, text)) for doc, text, *leaf in rows if (*leaf, doc, text) in want)
+
+
 def cheapest(roles):
     """Least cost over all ways, by search over (turn, state)."""
     best = {0: 0.0}
