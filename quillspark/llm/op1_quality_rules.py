@@ -4,8 +4,9 @@ Statistics of whole texts are turned into a vector, shrunk towards the medians o
 short texts don't look odd by chance. For each (lang, source) the minimum covariance determinant is sought by
 concentration steps from several deterministic starts (as in DetMCD): each step keeps the ``h`` share of rows
 with the least Mahalanobis distance and estimates centre and scatter from them anew; the start that ends in the
-least determinant wins. A ridge on the scatter keeps statistics that are zero in most texts from making it
-singular. Rows beyond the chi-square cutoff are rejected. Everything is DataFrame expressions: the Cholesky
+least determinant wins; steps go on until no group's determinant falls. A variance below the statistic's resolution (a statistic that is
+zero in most texts has none) is raised to it, so that the scatter isn't singular; variances above it and all covariances are the
+estimate's own. Rows beyond the chi-square cutoff are rejected. Everything is DataFrame expressions: the Cholesky
 factor of the p x p scatter is written out as columns of the small table of groups.
 
 Cases: null or empty text has no words, fails the base rules and stays out of the estimates. Null lang or source
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 from .store import Tables, join_small
 
 SPACE = "[ \\t-\\r]"
-#: Features and the standard deviation that the ridge adds to each at least.
-RIDGE = {"x_len": 0.06, "x_sym": 0.10, "x_upper": 0.05, "x_dup": 0.12, "x_rep": 0.12}
-X = list(RIDGE)
+#: Features and their resolution: the least standard deviation that a scatter may have.
+FLOOR = {"x_len": 0.01, "x_sym": 0.08, "x_upper": 0.01, "x_dup": 0.12, "x_rep": 0.12}
+#: How many words, letters or lines of the group's median each text is given besides its own.
+PRIOR = {"x_len": 100, "x_sym": 30, "x_upper": 600, "x_dup": 3, "x_rep": 30}
+X = list(FLOOR)
 P = len(X)
-#: Chi-square quantiles with five degrees of freedom: the median, and 0.999.
-CHI2_MEDIAN, CHI2_CUT = 4.3515, 20.515
+#: Medians of chi-square with one to five degrees of freedom, and its 0.99 quantile with five.
+CHI2_MEDIAN, CHI2_CUT = (0.4549, 1.3863, 2.3660, 3.3567, 4.3515), 15.086
 STARTS = 3
 
 
@@ -95,23 +98,27 @@ def _distance(x: list[Column]) -> Column:
     return sum((c * c for c in z[1:]), z[0] * z[0])
 
 
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, ridged scatter, its Cholesky factor and log determinant for each group."""
+def _moments(rows: DataFrame, keys: list[str], correlated: bool) -> DataFrame:
+    """Mean, scatter (without covariances unless ``correlated``), its Cholesky factor and log determinant for each group."""
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("n_fit"), *(F.avg(X[i]).alias(f"m{i}") for i in range(P)),
         *(F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)),
     )
     for i in range(P):
         for j in range(i + 1):
-            s = F.col(f"c{i}{j}") + (F.lit(RIDGE[X[i]] ** 2) if i == j else F.lit(0.0))
+            s = F.greatest(f"c{i}{j}", F.lit(FLOOR[X[i]] ** 2)) if i == j else F.col(f"c{i}{j}") * (1.0 if correlated else 0.0)
             for k in range(j):
                 s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(1e-9))) if i == j else s / F.col(f"l{j}{j}"))
+    free = sum((F.when(F.col(f"c{i}{i}") > FLOOR[x] ** 2, 1).otherwise(0) for i, x in enumerate(X)), F.lit(0))
+    out = out.withColumn("free", F.greatest(free, F.lit(1)))
     return out.withColumn("logdet", sum((F.log(f"l{i}{i}") for i in range(P)), F.lit(0.0))).drop(*(f"c{i}{j}" for i in range(P) for j in range(i + 1)))
 
 
-def judge(docs: DataFrame, h: float = 0.75, steps: int = 3, min_group: int = 50, cutoff: float = CHI2_CUT) -> DataFrame:
-    """doc_id, lang, source, the statistics, base_failed, distance2 (null where not judged) and kept, one row a document."""
+def judge(docs: DataFrame, h: float = 0.75, steps: int = 20, min_group: int = 50, cutoff: float = CHI2_CUT, correlated: bool = True) -> DataFrame:
+    """doc_id, lang, source, the statistics, base_failed, distance2 (null where not judged) and kept, one row a document.
+
+    ``steps``: concentration steps at most; a few do, as each lowers the determinant. ``correlated`` false leaves covariances out."""
     spark = docs.sparkSession
     tables = Tables(spark, "quality")
     # Keys that are never null: "=" and the value, or nothing.
@@ -122,18 +129,17 @@ def judge(docs: DataFrame, h: float = 0.75, steps: int = 3, min_group: int = 50,
     rows = join_small(stats, _groups(stats, tables, min_group), ["lang", "source"], "doc_id", "left")
     nw, nl = F.col("n_words"), F.col("n_lines")
     ratio = {"x_len": (F.col("word_chars"), nw), "x_sym": (F.col("n_symbols"), nw), "x_upper": (F.col("n_upper"), F.col("word_chars")), "x_dup": (F.col("n_dup_lines"), nl), "x_rep": (F.col("n_repeat_words"), nw)}
-    prior = {"x_len": 30, "x_sym": 30, "x_upper": 180, "x_dup": 3, "x_rep": 30}
     fit = rows.where("not base_failed")
     centre = tables.save(fit.groupBy("g").agg(*(_median(a / F.greatest(b, F.lit(1))).alias(f"p_{x}") for x, (a, b) in ratio.items())), "centre")
     v = join_small(rows, centre, ["g"], "doc_id", "left")
-    shrunk = {x: (a + prior[x] * F.col(f"p_{x}")) / (b + prior[x]) for x, (a, b) in ratio.items()}
+    shrunk = {x: (a + PRIOR[x] * F.col(f"p_{x}")) / (b + PRIOR[x]) for x, (a, b) in ratio.items()}
     v = v.withColumns({x: F.log(c + 0.01) if x == "x_len" else F.sqrt(c) for x, c in shrunk.items()}).drop(*(f"p_{x}" for x in X))
     v = tables.save(v, "vectors")
     fit = v.where("not base_failed").select("doc_id", "g", *X)
     med = tables.save(fit.groupBy("g").agg(*(_median(F.col(x)).alias(f"a_{x}") for x in X)), "median")
     dev = join_small(fit, med, ["g"], "doc_id")
     mad = tables.save(dev.groupBy("g").agg(*(F.max(f"a_{x}").alias(f"a_{x}") for x in X), *((1.4826 * _median(F.abs(F.col(x) - F.col(f"a_{x}")))).alias(f"s_{x}") for x in X)), "mad")
-    z = [F.abs(F.col(x) - F.col(f"a_{x}")) / F.sqrt(F.col(f"s_{x}") ** 2 + RIDGE[x] ** 2) for x in X]
+    z = [F.abs(F.col(x) - F.col(f"a_{x}")) / F.greatest(f"s_{x}", F.lit(FLOOR[x])) for x in X]
     first = F.array(sum((c * c for c in z[1:]), z[0] * z[0]), F.greatest(*z), sum(z[1:], z[0]))
     d = join_small(fit, mad, ["g"], "doc_id").select("doc_id", "g", *X, F.posexplode(first).alias("start", "d"))
     est = None
@@ -143,12 +149,17 @@ def judge(docs: DataFrame, h: float = 0.75, steps: int = 3, min_group: int = 50,
             d = join_small(many, est, ["g", "start"], "doc_id").withColumn("d", _distance([F.col(x) for x in X])).select("doc_id", "g", *X, "start", "d")
         # The h share of least distance, by a mergeable quantile sketch of all rows of the group.
         q = tables.save(d.groupBy("g", "start").agg(F.percentile_approx("d", h, 2000).alias("q")), f"q{step}")
-        est = tables.save(_moments(join_small(d, q, ["g", "start"], "doc_id").where("d <= q"), ["g", "start"]), f"est{step}")
+        last, est = est, tables.save(_moments(join_small(d, q, ["g", "start"], "doc_id").where("d <= q"), ["g", "start"], correlated), f"est{step}")
+        if last is not None:
+            falls = est.join(last.select("g", "start", F.col("logdet").alias("was")), ["g", "start"]).where("logdet < was - 1e-6")
+            if not falls.limit(1).count():
+                break
     best = est.groupBy("g").agg(F.min(F.struct("logdet", "start")).alias("b")).select("g", F.col("b.start").alias("start"))
     best = tables.save(est.join(best, ["g", "start"]), "best")
     dist = join_small(v, best, ["g"], "doc_id", "left").withColumn("d2", _distance([F.col(x) for x in X]))
-    # The trimmed scatter is too small by a factor that the median distance shows; it never widens the ridge.
-    factor = tables.save(dist.where("not base_failed").groupBy("g").agg(F.greatest(_median(F.col("d2")) / CHI2_MEDIAN, F.lit(1.0)).alias("f"), F.count("*").alias("n_g")), "factor")
+    # The trimmed scatter is too small by a factor that the median distance shows, against chi-square with as many degrees
+    # of freedom as there are statistics that vary by more than their resolution.
+    factor = tables.save(dist.where("not base_failed").groupBy("g").agg(F.greatest(_median(F.col("d2")) / F.element_at(F.array(*map(F.lit, CHI2_MEDIAN)), F.max("free")), F.lit(1.0)).alias("f"), F.count("*").alias("n_g")), "factor")
     out = join_small(dist.where(F.coalesce("judged", F.lit(True))), factor, ["g"], "doc_id", "left").withColumn("distance2", F.when(F.col("n_g") >= min_group, F.col("d2") / F.col("f")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))
     value = lambda c: F.when(F.col(c) != "", F.expr(f"substr({c}, 2)")).alias(c)

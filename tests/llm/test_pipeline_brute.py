@@ -28,7 +28,7 @@ def stats(t):
     return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines), len(lines) - len(set(lines)), len(repeated), sum(x.isupper() for x in t)
 
 
-def robust(rows, h=0.75, steps=3, smallest=50):
+def robust(rows, h=0.75, steps=20, smallest=50):
     """Ids that the quality rules keep. rows: doc_id, text, lang, source."""
     info = {d: (stats(t), lang, source) for d, t, lang, source in rows}
     failed = {d for d, (s, *_) in info.items() if s[0] < 10 or 100 * s[5] > 20 * s[0]}
@@ -41,7 +41,7 @@ def robust(rows, h=0.75, steps=3, smallest=50):
     for d, (_, lang, source) in info.items():
         if d not in failed:
             groups[pool(lang, source)].append(d)
-    ridge, prior = np.array([q1.RIDGE[x] for x in q1.X]), [30, 30, 180, 3, 30]
+    floor, prior = np.array([q1.FLOOR[x] for x in q1.X]), [q1.PRIOR[x] for x in q1.X]
     kept = set()
     for ids in groups.values():
         pairs = {d: [(s[1], s[0]), (s[2], s[0]), (s[6], s[1]), (s[4], s[3]), (s[5], s[0])] for d in ids for s in [info[d][0]]}
@@ -49,16 +49,22 @@ def robust(rows, h=0.75, steps=3, smallest=50):
         x = np.array([[(math.log if k == 0 else math.sqrt)((a + prior[k] * centre[k]) / (b + prior[k]) + (0.01 if k == 0 else 0)) for k, (a, b) in enumerate(pairs[d])] for d in ids])
         med = np.array([quantile(c, 0.5) for c in x.T])
         mad = np.array([1.4826 * quantile(np.abs(c), 0.5) for c in (x - med).T])
-        z = np.abs(x - med) / np.sqrt(mad**2 + ridge**2)
+        z = np.abs(x - med) / np.maximum(mad, floor)
         found = []
         for d in ((z**2).sum(axis=1), z.max(axis=1), z.sum(axis=1)):
+            was = math.inf
             for _ in range(steps + 1):
                 near = x[d <= quantile(d, h)]
-                mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(ridge**2)
+                mean, cov = near.mean(axis=0), np.cov(near.T, bias=True)
+                cov += np.diag(np.maximum(floor**2 - np.diag(cov), 0))
                 d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-            found.append((np.linalg.slogdet(cov)[1], len(found), d))
-        d = min(found, key=lambda f: (round(f[0], 9), f[1]))[2]
-        d = d / max(1.0, quantile(d, 0.5) / q1.CHI2_MEDIAN)
+                now = np.linalg.slogdet(cov)[1]
+                if now >= was - 2e-6:
+                    break
+                was = now
+            found.append((np.linalg.slogdet(cov)[1], len(found), d, max(1, int((np.diag(np.cov(near.T, bias=True)) > floor**2).sum()))))
+        _, _, d, free = min(found, key=lambda f: (round(f[0], 9), f[1]))
+        d = d / max(1.0, quantile(d, 0.5) / q1.CHI2_MEDIAN[free - 1])
         kept |= {i for i, v in zip(ids, d, strict=True) if len(ids) < smallest or v <= q1.CHI2_CUT}
     return kept
 

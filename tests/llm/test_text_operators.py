@@ -59,6 +59,23 @@ def test_pipe_separated_texts_go(spark):
     assert [i for i, *_ in prose if not got[i]] == [] and [i for i, *_ in pipes if got[i]] == []
 
 
+def test_covariances_decide(spark):
+    """Long words come with capitals here: a text with long words and none is odd, though each of its statistics is usual."""
+    rng = random.Random(9)
+
+    def text(length, capitals):
+        word = lambda: "".join(rng.choice("abcdefghij") for _ in range(max(1, round(rng.gauss(length, 1)))))
+        return " ".join(w.capitalize() if rng.random() < capitals else w for w in (word() for _ in range(400)))
+
+    level = [rng.random() for _ in range(160)]
+    rows = [(i, text(4 + 3 * x, 0.2 + 0.6 * x), "en", f"s{i % 2}") for i, x in enumerate(level)] + [(500, text(6.8, 0.25), "en", "s0"), (501, text(6.8, 0.76), "en", "s1")]
+    d = table(spark, rows)
+    got = {r.doc_id: r.kept for r in q1.judge(d).collect()}
+    plain = {r.doc_id: r.kept for r in q1.judge(d, correlated=False).collect()}
+    assert not got[500] and got[501] and plain[500] and plain[501]
+    assert sum(got[i] for i in range(160)) >= 155
+
+
 def test_few_leftovers_are_judged_by_whole_language_or_table(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
