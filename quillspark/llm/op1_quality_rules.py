@@ -30,8 +30,8 @@ FLOOR = {"x_len": 0.01, "x_sym": 0.08, "x_upper": 0.01, "x_dup": 0.12, "x_rep":
 PRIOR = {"x_len": 100, "x_sym": 30, "x_upper": 600, "x_dup": 3, "x_rep": 30}
 X = list(FLOOR)
 P = len(X)
-#: Medians of chi-square with one to five degrees of freedom, and its 0.99 quantile with five.
-CHI2_MEDIAN, CHI2_CUT = (0.4549, 1.3863, 2.3660, 3.3567, 4.3515), 15.086
+#: Medians of chi-square with one to five degrees of freedom, and its 0.999 quantile with five.
+CHI2_MEDIAN, CHI2_CUT = (0.4549, 1.3863, 2.3660, 3.3567, 4.3515), 20.515
 STARTS = 3
 
 
@@ -98,12 +98,13 @@ def _distance(x: list[Column]) -> Column:
     return sum((c * c for c in z[1:]), z[0] * z[0])
 
 
-def _moments(rows: DataFrame, keys: list[str], correlated: bool) -> DataFrame:
-    """Mean, scatter (without covariances unless ``correlated``), its Cholesky factor and log determinant for each group."""
-    out = rows.groupBy(*keys).agg(
-        F.count("*").alias("n_fit"), *(F.avg(X[i]).alias(f"m{i}") for i in range(P)),
-        *(F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)),
-    )
+_SCATTER = [f"c{i}{j}" for i in range(P) for j in range(i + 1)]
+
+
+def _factored(groups: DataFrame, correlated: bool = True) -> DataFrame:
+    """Adds the Cholesky factor of the scatter with its floor (without covariances unless ``correlated``), log determinant, and
+    ``free``: how many variances are above the floor."""
+    out = groups
     for i in range(P):
         for j in range(i + 1):
             s = F.greatest(f"c{i}{j}", F.lit(FLOOR[X[i]] ** 2)) if i == j else F.col(f"c{i}{j}") * (1.0 if correlated else 0.0)
@@ -111,8 +112,16 @@ def _moments(rows: DataFrame, keys: list[str], correlated: bool) -> DataFrame:
                 s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(1e-9))) if i == j else s / F.col(f"l{j}{j}"))
     free = sum((F.when(F.col(f"c{i}{i}") > FLOOR[x] ** 2, 1).otherwise(0) for i, x in enumerate(X)), F.lit(0))
-    out = out.withColumn("free", F.greatest(free, F.lit(1)))
-    return out.withColumn("logdet", sum((F.log(f"l{i}{i}") for i in range(P)), F.lit(0.0))).drop(*(f"c{i}{j}" for i in range(P) for j in range(i + 1)))
+    return out.withColumns({"free": F.greatest(free, F.lit(1)), "logdet": sum((F.log(f"l{i}{i}") for i in range(P)), F.lit(0.0))})
+
+
+def _moments(rows: DataFrame, keys: list[str], correlated: bool) -> DataFrame:
+    """Mean and scatter for each group, factored."""
+    out = rows.groupBy(*keys).agg(
+        *(F.avg(X[i]).alias(f"m{i}") for i in range(P)),
+        *(F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)),
+    )
+    return _factored(out, correlated)
 
 
 def judge(docs: DataFrame, h: float = 0.75, steps: int = 20, min_group: int = 50, cutoff: float = CHI2_CUT, correlated: bool = True) -> DataFrame:
@@ -156,11 +165,15 @@ def judge(docs: DataFrame, h: float = 0.75, steps: int = 20, min_group: int = 50
                 break
     best = est.groupBy("g").agg(F.min(F.struct("logdet", "start")).alias("b")).select("g", F.col("b.start").alias("start"))
     best = tables.save(est.join(best, ["g", "start"]), "best")
-    dist = join_small(v, best, ["g"], "doc_id", "left").withColumn("d2", _distance([F.col(x) for x in X]))
+    dist = join_small(fit, best, ["g"], "doc_id").withColumn("d2", _distance([F.col(x) for x in X]))
     # The trimmed scatter is too small by a factor that the median distance shows, against chi-square with as many degrees
     # of freedom as there are statistics that vary by more than their resolution.
-    factor = tables.save(dist.where("not base_failed").groupBy("g").agg(F.greatest(_median(F.col("d2")) / F.element_at(F.array(*map(F.lit, CHI2_MEDIAN)), F.max("free")), F.lit(1.0)).alias("f"), F.count("*").alias("n_g")), "factor")
-    out = join_small(dist.where(F.coalesce("judged", F.lit(True))), factor, ["g"], "doc_id", "left").withColumn("distance2", F.when(F.col("n_g") >= min_group, F.col("d2") / F.col("f")))
+    median = F.element_at(F.array(*map(F.lit, CHI2_MEDIAN)), F.max("free"))
+    factor = tables.save(dist.groupBy("g").agg(F.greatest(_median(F.col("d2")) / median, F.lit(1.0)).alias("f"), F.count("*").alias("n_g")), "factor")
+    scaled = best.select("g", *(f"m{i}" for i in range(P)), *_SCATTER).join(factor, "g").withColumns({c: F.col(c) * F.col("f") for c in _SCATTER})
+    scaled = tables.save(_factored(scaled, correlated), "scaled")
+    out = join_small(v.where(F.coalesce("judged", F.lit(True))), scaled, ["g"], "doc_id", "left")
+    out = out.withColumn("distance2", F.when(F.col("n_g") >= min_group, _distance([F.col(x) for x in X])))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))
     value = lambda c: F.when(F.col(c) != "", F.expr(f"substr({c}, 2)")).alias(c)
     return out.select("doc_id", value("lang"), value("source"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")

@@ -62,9 +62,12 @@ def robust(rows, h=0.75, steps=20, smallest=50):
                 if now >= was - 2e-6:
                     break
                 was = now
-            found.append((np.linalg.slogdet(cov)[1], len(found), d, max(1, int((np.diag(np.cov(near.T, bias=True)) > floor**2).sum()))))
-        _, _, d, free = min(found, key=lambda f: (round(f[0], 9), f[1]))
-        d = d / max(1.0, quantile(d, 0.5) / q1.CHI2_MEDIAN[free - 1])
+            found.append((np.linalg.slogdet(cov)[1], len(found), d, mean, np.cov(near.T, bias=True)))
+        _, _, d, mean, cov = min(found, key=lambda f: (round(f[0], 9), f[1]))
+        free = max(1, int((np.diag(cov) > floor**2).sum()))
+        cov = cov * max(1.0, quantile(d, 0.5) / q1.CHI2_MEDIAN[free - 1])
+        cov += np.diag(np.maximum(floor**2 - np.diag(cov), 0))
+        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
         kept |= {i for i, v in zip(ids, d, strict=True) if len(ids) < smallest or v <= q1.CHI2_CUT}
     return kept
 

@@ -60,7 +60,7 @@ def test_pipe_separated_texts_go(spark):
 
 
 def test_covariances_decide(spark):
-    """Long words come with capitals here: a text with long words and none is odd, though each of its statistics is usual."""
+    """Long words come with capitals here: a text with long words and few is odd, though each of its statistics is usual."""
     rng = random.Random(9)
 
     def text(length, capitals):
@@ -68,7 +68,7 @@ def test_covariances_decide(spark):
         return " ".join(w.capitalize() if rng.random() < capitals else w for w in (word() for _ in range(400)))
 
     level = [rng.random() for _ in range(160)]
-    rows = [(i, text(4 + 3 * x, 0.2 + 0.6 * x), "en", f"s{i % 2}") for i, x in enumerate(level)] + [(500, text(6.8, 0.25), "en", "s0"), (501, text(6.8, 0.76), "en", "s1")]
+    rows = [(i, text(4 + 3 * x, 0.2 + 0.6 * x), "en", f"s{i % 2}") for i, x in enumerate(level)] + [(500, text(6.7, 0.4), "en", "s0"), (501, text(6.7, 0.74), "en", "s1")]
     d = table(spark, rows)
     got = {r.doc_id: r.kept for r in q1.judge(d).collect()}
     plain = {r.doc_id: r.kept for r in q1.judge(d, correlated=False).collect()}
