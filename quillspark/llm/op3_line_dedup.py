@@ -9,7 +9,9 @@ and takes no part in later levels. Unique lines and ends of texts sort before
 repeated lines, by their place. The ranks of all levels give each neighbour pair of the finished suffix array its
 longest common prefix: levels they share, then descending levels at shifted places. Neighbours with a common
 prefix of ``min_lines`` or more form intervals, the inner nodes that hold every maximal run of repeated lines;
-within an interval every suffix but the first in (doc_id, place) order is a later copy, and its lines go.
+within an interval every suffix but the first in (doc_id, place) order is a later copy, and its lines go. A run of fewer lines
+counts where it starts with a line of ``min_words`` words or more (an interval of depth one), so a long line or a text
+of one line is a run by itself, while short lines repeat freely.
 
 Cases: rows with null doc_id or text pass unchanged. Rows with equal doc_id and text count as one document (what
 is decided holds for each of them); rows with equal doc_id and different texts are documents of their own. A run that
@@ -22,34 +24,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Tables, running_sum
+from .store import Tables, join_small, running_sum
 
 KEY = ["doc_id", "th"]
+#: Lines of a run, or words of a single line, from which a later copy goes.
+MIN_LINES, MIN_WORDS = 2, 10
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), line (index in the text), pos (index among lines with a word), h."""
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, th (hash of the text), line (index in the text), pos (index among lines with a word), h, long."""
     t = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("l"))
-    worded = F.filter(F.transform("l", lambda x, i: F.when(x.rlike("[^ \\t-\\r]"), F.struct(i.alias("line"), F.xxhash64(x).alias("h")))), lambda x: x.isNotNull())
+    long = lambda x: x.rlike(f"^[ \\t-\\r]*([^ \\t-\\r]+[ \\t-\\r]+){{{min_words - 1}}}[^ \\t-\\r]")
+    worded = F.filter(F.transform("l", lambda x, i: F.when(x.rlike("[^ \\t-\\r]"), F.struct(i.alias("line"), F.xxhash64(x).alias("h"), long(x).alias("long")))), lambda x: x.isNotNull())
     t = t.select(*KEY, F.posexplode(worded).alias("pos", "x"))
-    return t.select(*KEY, "pos", F.col("x.line").alias("line"), F.col("x.h").alias("h"))
+    return t.select(*KEY, "pos", F.col("x.line").alias("line"), F.col("x.h").alias("h"), F.col("x.long").alias("long"))
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = 2) -> tuple[DataFrame, Tables]:
-    """Suffixes in intervals of depth ``min_lines`` or more: doc_id, th, pos, line, interval, first (is the first copy).
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[DataFrame, Tables]:
+    """Suffixes in intervals of depth ``min_lines`` or more: doc_id, th, pos, line, depth, interval, first (is the first
+    copy); and those that start with a long line, in intervals of depth 1.
 
     Also the run's depth: ``lcp`` with the neighbour before it in the suffix array (0 at an interval's start).
     """
     spark = docs.sparkSession
     tables = Tables(spark, "lines")
-    lines = _lines(docs)
+    lines = _lines(docs, min_words)
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():  # reads the ids only
         lines = lines.distinct()
     lines = tables.save(lines, "lines")
     count = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     # Level 0: ranks of repeated lines, by hash. g: suffixes before the group; o: suffixes of open groups before it.
     ranked = running_sum(tables, count, ["h"], {"n": "g"}, "h")
-    r = lines.join(ranked.select("h", "g"), "h").select(*KEY, "pos", "line", "g", F.col("g").alias("o"), F.array("g").alias("hist"))
+    r = lines.join(ranked.select("h", "g"), "h").select(*KEY, "pos", "line", "long", "g", F.col("g").alias("o"), F.array("g").alias("hist"))
     r = r.withColumns({"open": F.lit(True), "level": F.lit(0)})
     ranks = open_ = tables.save(r, "level0")  # ranks: the newest rank of every suffix; open_: those not alone yet
     paths, levels = [], 0
@@ -59,7 +65,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2) -> tuple[DataFrame, Table
         j = open_.join(ahead, [*KEY, "pos"], "left")
         # the next key: the rank ahead, or (first in order) the place of a unique line or of the text's end
         none, zero = F.col("g2").isNull(), F.lit(0).cast("long")
-        j = j.select(*KEY, "pos", "line", "hist", "g", "o", *(x.cast("long").alias(c) for c, x in (("t", F.when(none, 0).otherwise(1)), ("a", F.when(none, F.col("doc_id")).otherwise(F.col("g2"))), ("b", F.when(none, F.col("th")).otherwise(zero)), ("c", F.when(none, F.col("pos")).otherwise(zero)))))
+        j = j.select(*KEY, "pos", "line", "long", "hist", "g", "o", *(x.cast("long").alias(c) for c, x in (("t", F.when(none, 0).otherwise(1)), ("a", F.when(none, F.col("doc_id")).otherwise(F.col("g2"))), ("b", F.when(none, F.col("th")).otherwise(zero)), ("c", F.when(none, F.col("pos")).otherwise(zero)))))
         pairs = tables.save(j, "pairs")
         key = ["g", "t", "a", "b", "c"]
         counts = pairs.groupBy(*key).agg(F.count("*").alias("n")).withColumn("n_open", F.when(F.col("n") > 1, F.col("n")).otherwise(0))
@@ -67,7 +73,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2) -> tuple[DataFrame, Table
         new = pairs.join(ranked, key).withColumn("g_new", F.col("g") + F.col("before") - F.col("o"))
         hist = F.when(F.col("n") > 1, F.concat("hist", F.array("g_new"))).otherwise(F.col("hist"))
         levels += 1
-        new = new.select(*KEY, "pos", "line", F.col("g_new").alias("g"), F.col("o_new").alias("o"), hist.alias("hist"), (F.col("n") > 1).alias("open"), F.lit(levels).alias("level"))
+        new = new.select(*KEY, "pos", "line", "long", F.col("g_new").alias("g"), F.col("o_new").alias("o"), hist.alias("hist"), (F.col("n") > 1).alias("open"), F.lit(levels).alias("level"))
         new = tables.save(new, f"level{levels}")
         tables.drop(pairs)
         paths.append(new._quill_path)
@@ -75,7 +81,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2) -> tuple[DataFrame, Table
         open_ = new.where("open")
     # ranks: the suffix array; g is the place. Neighbours: equality of the shared levels' ranks, then descent.
     r = ranks
-    sa = r.select(*KEY, "pos", "line", "g", "hist")
+    sa = r.select(*KEY, "pos", "line", "long", "g", "hist")
     prev = r.select((F.col("g") + 1).alias("g"), F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("pos").alias("p2"), F.col("hist").alias("hist2"))
     shared = F.size(F.filter(F.transform("hist", lambda x, i: F.get("hist2", i) == x), lambda x: x))
     p = sa.join(prev, "g").withColumn("k", shared - 1).where("k >= 0").select(*KEY, "pos", "g", "d2", "t2", "p2", "k", F.expr("cast(shiftleft(1L, k) as int)").alias("lcp"))
@@ -99,21 +105,26 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2) -> tuple[DataFrame, Table
     lcp = running_sum(tables, lcp.withColumn("new", (F.col("lcp") < min_lines).cast("long")), ["g"], {"new": "before"}, "interval")
     lcp = lcp.withColumn("interval", F.col("before") + F.col("new"))
     first = lcp.groupBy("interval").agg(F.min(F.struct(*KEY, "pos")).alias("f"), F.count("*").alias("copies")).where("copies > 1")
-    runs = lcp.join(first, "interval").select(*KEY, "pos", "line", "interval", "lcp", "copies", (F.struct(*KEY, "pos") == F.col("f")).alias("first"))
+    columns = [*KEY, "pos", "line", "depth", "interval", "lcp", "copies", (F.struct(*KEY, "pos") == F.col("f")).alias("first")]
+    runs = lcp.withColumn("depth", F.lit(min_lines)).join(first, "interval").select(*columns)
+    if min_lines > 1:  # the suffixes of one line are the interval of depth 1 that its rank of level 0 names
+        one = sa.where("long").select(*KEY, "pos", "line", F.lit(1).alias("depth"), F.get("hist", F.lit(0)).alias("interval"), F.lit(None).cast("int").alias("lcp"))
+        first = tables.save(one.groupBy("interval").agg(F.min(F.struct(*KEY, "pos")).alias("f"), F.count("*").alias("copies")).where("copies > 1"), "long-lines")
+        runs = runs.unionByName(join_small(one, first, ["interval"], "pos").select(*columns))
     return runs, tables
 
 
-def deleted_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th and the sorted array ``gone`` of line indexes that later copies of repeated runs cover."""
-    runs, tables = repeated_runs(docs, min_lines)
+    runs, tables = repeated_runs(docs, min_lines, min_words)
     lines = tables.spark.read.parquet(f"{tables.root}/001-lines").select(*KEY, "pos", "line")
-    covered = runs.where("NOT first").select(*KEY, F.explode(F.sequence("pos", F.col("pos") + min_lines - 1)).alias("pos")).distinct()
+    covered = runs.where("NOT first").select(*KEY, F.explode(F.sequence("pos", F.col("pos") + F.col("depth") - 1)).alias("pos")).distinct()
     return covered.join(lines, [*KEY, "pos"]).groupBy(*KEY).agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
-def dedup(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the new text, and ``n_removed_lines`` (long); no row is dropped."""
-    gone = deleted_lines(docs, min_lines).select(F.col("doc_id").alias("_q3_doc"), F.col("th").alias("_q3_hash"), F.col("gone").alias("_q3_gone"))
+    gone = deleted_lines(docs, min_lines, min_words).select(F.col("doc_id").alias("_q3_doc"), F.col("th").alias("_q3_hash"), F.col("gone").alias("_q3_gone"))
     j = docs.join(gone, (docs["doc_id"] == F.col("_q3_doc")) & (F.xxhash64(docs["text"]) == F.col("_q3_hash")), "left")
     j = j.withColumn("_q3_lines", F.split("text", "\n", -1))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_q3_lines") - 1), "_q3_gone"), lambda i: F.get("_q3_lines", i)), "\n")
@@ -125,7 +136,7 @@ def dedup(docs: DataFrame, min_lines: int = 2) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated runs; n_chars follows the text; emptied rows go."""
     out = dedup(docs).where("n_removed_lines = 0 OR text RLIKE '[^ \\\\t-\\\\r]'").drop("n_removed_lines")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +152,10 @@ w AS (SELECT doc_id, line, s, row_number() OVER (PARTITION BY doc_id ORDER BY li
   WHERE regexp_matches(s, '[^ \t\n\x0B\f\r]')),
 p AS (SELECT doc_id, pos, s, lead(s) OVER (PARTITION BY doc_id ORDER BY pos) AS s2 FROM w),
 c AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY s, s2 ORDER BY doc_id, pos) AS copy FROM p WHERE s2 IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM c WHERE copy > 1 UNION ALL SELECT doc_id, pos + 1 FROM c WHERE copy > 1)),
+b AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS copy FROM w
+  WHERE len(regexp_extract_all(s, '[^ \t\n\x0B\f\r]+')) >= 10),
+g AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM c WHERE copy > 1 UNION ALL SELECT doc_id, pos + 1 FROM c WHERE copy > 1
+  UNION ALL SELECT doc_id, pos FROM b WHERE copy > 1)),
 gone AS (SELECT w.doc_id, w.line FROM w JOIN g ON w.doc_id = g.doc_id AND w.pos = g.pos),
 kept AS (SELECT l.doc_id, string_agg(l.s, chr(10) ORDER BY l.line) AS text FROM l
   LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.line = gone.line WHERE gone.line IS NULL GROUP BY l.doc_id),

@@ -81,6 +81,11 @@ def lines(rows):
             if (at[a], at[b]) in seen:
                 gone[d] |= {a, b}
             seen.add((at[a], at[b]))
+        for a in w:
+            if len(WORD.findall(at[a])) >= 10:
+                if at[a] in seen:
+                    gone[d].add(a)
+                seen.add(at[a])
     out = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows.items()}
     return {d: t for d, t in out.items() if not gone[d] or WORD.search(t)}
 

@@ -112,6 +112,13 @@ def test_line_runs(spark, n):
     assert got == brute_lines(rows, n)
 
 
+def test_long_lines_are_runs_by_themselves(spark):
+    nine, ten = " ".join("abcdefghi"), "\t" + "  ".join("abcdefghij") + " "
+    rows = [(1, f"{nine}\nx\n{ten}"), (2, nine), (3, ten), (4, f"y\n{ten}\nz\n{nine}"), (5, f"{ten}\n{ten}"), (6, ten + "k")]
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in q3.dedup(table(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: (nine, 0), 3: ("", 1), 4: (f"y\nz\n{nine}", 1), 5: ("", 2), 6: (ten + "k", 0)}
+
+
 @pytest.mark.parametrize("window,group", [(4, 20_000), (4, 10), (9, 20_000)])
 def test_substrings(spark, monkeypatch, window, group):
     monkeypatch.setattr(q5, "GROUP", group)
