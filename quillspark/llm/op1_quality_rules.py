@@ -4,7 +4,7 @@ Statistics of whole texts are turned into a vector, shrunk towards the medians o
 short texts don't look odd by chance. For each (lang, source) the minimum covariance determinant is sought by
 concentration steps from several deterministic starts (as in DetMCD): each step keeps the ``h`` share of rows
 with the least Mahalanobis distance and estimates centre and scatter from them anew; the start that ends in the
-least determinant wins; steps go on until no group's determinant falls. A variance below the statistic's resolution (a statistic that is
+least determinant wins; steps go on until no group's log determinant falls by 0.001. A variance below the statistic's resolution (a statistic that is
 zero in most texts has none) is raised to it, so that the scatter isn't singular; variances above it and all covariances are the
 estimate's own. Rows beyond the chi-square cutoff are rejected. Everything is DataFrame expressions: the Cholesky
 factor of the p x p scatter is written out as columns of the small table of groups.
@@ -160,7 +160,7 @@ def judge(docs: DataFrame, h: float = 0.75, steps: int = 20, min_group: int = 50
         q = tables.save(d.groupBy("g", "start").agg(F.percentile_approx("d", h, 2000).alias("q")), f"q{step}")
         last, est = est, tables.save(_moments(join_small(d, q, ["g", "start"], "doc_id").where("d <= q"), ["g", "start"], correlated), f"est{step}")
         if last is not None:
-            falls = est.join(last.select("g", "start", F.col("logdet").alias("was")), ["g", "start"]).where("logdet < was - 1e-6")
+            falls = est.join(last.select("g", "start", F.col("logdet").alias("was")), ["g", "start"]).where("logdet < was - 1e-3")
             if not falls.limit(1).count():
                 break
     best = est.groupBy("g").agg(F.min(F.struct("logdet", "start")).alias("b")).select("g", F.col("b.start").alias("start"))

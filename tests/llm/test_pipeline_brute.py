@@ -59,7 +59,7 @@ def robust(rows, h=0.75, steps=20, smallest=50):
                 cov += np.diag(np.maximum(floor**2 - np.diag(cov), 0))
                 d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
                 now = np.linalg.slogdet(cov)[1]
-                if now >= was - 2e-6:
+                if now >= was - 1e-3:
                     break
                 was = now
             found.append((np.linalg.slogdet(cov)[1], len(found), d, mean, np.cov(near.T, bias=True)))
