@@ -28,13 +28,18 @@ def base_name(name: Column | str) -> Column:
 
 
 def norm_key(value: Column | str) -> Column:
-    """Lookup key: without balanced generics, blanks, one final () and one leading ::, in lower case."""
+    """Lookup key: without generics (nested to any depth; an open one hides the rest), blanks, one final () and one
+    leading ::, in lower case."""
     c = col(value)
-    for _ in range(6):
-        c = F.regexp_replace(c, r"(::\s*)?<[^<>]*>", "")
-    # an unmatched < hides the rest; a stray > goes only where there were generics
-    c = F.regexp_replace(c, r"(::\s*)?<.*$", "")
-    c = F.when(col(value).contains("<"), F.regexp_replace(c, ">", "")).otherwise(c)
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
+
+    def step(a: Column, ch: Column) -> Column:
+        opens, closes = ch == "<", ch == ">"
+        out = F.when(opens & (a["depth"] == 0), F.regexp_replace(a["out"], r"::\s*$", "")).when(opens | closes | (a["depth"] > 0), a["out"]).otherwise(F.concat(a["out"], ch))
+        depth = F.when(opens, a["depth"] + 1).when(closes, F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"])
+        return F.struct(out.alias("out"), depth.alias("depth"))
+
+    c = F.when(c.contains("<"), F.aggregate(F.split(c, ""), start, step)["out"]).otherwise(c)
     c = F.regexp_replace(F.regexp_replace(c, r"\s+", ""), r"\(\)$", "")
     return F.lower(F.regexp_replace(c, "^::", ""))
 
@@ -148,9 +153,16 @@ def py_subjects(query: str) -> list[str]:
 
 
 def py_norm_key(value: str) -> str:
-    had = "<" in value
-    for _ in range(6):
-        value = re.sub(r"(::\s*)?<[^<>]*>", "", value)
-    value = re.sub(r"(::\s*)?<.*$", "", value, flags=re.S)
-    value = re.sub(r"\(\)$", "", re.sub(r"\s+", "", value.replace(">", "") if had else value))
+    if "<" in value:
+        out, depth = "", 0
+        for ch in value:
+            if ch == "<":
+                out = re.sub(r"::\s*$", "", out) if depth == 0 else out
+                depth += 1
+            elif ch == ">":
+                depth = max(0, depth - 1)
+            elif depth == 0:
+                out += ch
+        value = out
+    value = re.sub(r"\(\)$", "", re.sub(r"\s+", "", value))
     return re.sub("^::", "", value).lower()

@@ -36,38 +36,44 @@ def bump(old: Column | str, new: Column | str) -> Column:
 
 
 def requirement(req: Column | str) -> Column:
-    """struct<lo, hi> (hi exclusive, null: open) of a requirement; null where its operator isn't supported.
+    """struct<lo, hi> (hi exclusive, null: open) of a requirement; null where it isn't supported.
 
-    ^ and bare one or two parts: up to the next change of the first part that isn't zero; ~: up to the next
-    minor (or major, for one part); =, and bare three parts: that version only; x and *: any of what is left out.
+    ^ and bare one or two numbers: up to the next change of the first number that isn't zero; ~: up to the next
+    minor (or major, for one number); bare three numbers: that version only; x, X and *: any of what is left out.
+    Anything else (other marks, lists, pre-releases, build text) is unknown.
     """
     r = F.trim(col(req))
-    num = lambda c, i: F.coalesce(F.regexp_extract(c, r"^\D*(\d+)(?:\.(\d+))?(?:\.(\d+))?", i).try_cast("bigint"), F.lit(0).cast("long"))
-    major, minor, patch = num(r, 1), num(r, 2), num(r, 3)
-    has2, has3 = F.regexp_extract(r, r"^\D*\d+\.(\d+)", 1) != "", F.regexp_extract(r, r"^\D*\d+\.\d+\.(\d+)", 1) != ""
+    mark = F.when(r.startswith("^"), "^").when(r.startswith("~"), "~").when(r.rlike("[*xX]"), "*").otherwise("")
+    texts = F.split(F.when(mark.isin("^", "~"), F.substr(r, F.lit(2))).otherwise(r), r"\.", -1)
+    known = F.struct(mark.alias("mark"), texts.alias("t"), F.transform(texts, lambda x: F.when(x.rlike(r"^\+?\d+$"), x.try_cast("bigint"))).alias("p"))
+    # one element, so that the range's expressions share what was parsed
+    return F.transform(F.array(known), _range)[0]
+
+
+def _range(x: Column) -> Column:
     zero = F.lit(0).cast("long")
     v = lambda a, b, c: F.struct(a.alias("major"), b.alias("minor"), c.alias("patch"))
-    lo = v(major, minor, patch)
-    caret = (
-        F.when((major > 0) | ~has2, v(major + 1, zero, zero))
-        .when((minor > 0) | ~has3, v(major, minor + 1, zero))
-        .otherwise(v(major, minor, patch + 1))
-    )
-    tilde = F.when(has2, v(major, minor + 1, zero)).otherwise(v(major + 1, zero, zero))
-    wild = F.when(has2, v(major, minor + 1, zero)).otherwise(v(major + 1, zero, zero))
-    pair = lambda x, y: F.struct(x.alias("lo"), y.alias("hi"))
-    number = r"\d+(\.\d+){0,2}([-+][0-9A-Za-z.+-]*)?$"
+    pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    mark, n, p = x["mark"], F.size(x["p"]), x["p"]
+    a, b, c = (F.coalesce(F.get(p, F.lit(i)), zero) for i in range(3))
+    lo = v(a, b, c)
+    caret = F.when(a > 0, v(a + 1, zero, zero)).when(n == 1, v(a + 1, zero, zero)).when(b > 0, v(zero, b + 1, zero)).when(n == 2, v(zero, b + 1, zero)).otherwise(v(zero, zero, c + 1))
+    tilde = F.when(n == 1, v(a + 1, zero, zero)).otherwise(v(a, b + 1, zero))
+    wild = F.transform(x["t"], lambda t: t.isin("*", "x", "X"))
+    at = F.array_position(wild, True).cast("int") - 1
+    from_there = (at >= 0) & (n <= 3) & (F.size(F.filter(wild, lambda w: w)) == n - at) & (F.size(F.filter(p, lambda q: q.isNotNull())) == at)
+    open_end = F.when(at == 0, F.lit(None)).when(at == 1, v(a + 1, zero, zero)).otherwise(v(a, b + 1, zero))
     return (
-        F.when(r == "*", pair(v(zero, zero, zero), F.lit(None)))
-        .when(r.rlike(r"^\d+(\.\d+)?\.[*x](\.[*x])?$"), pair(lo, wild))
-        .when(r.rlike(r"^\^\s*" + number), pair(lo, caret))
-        .when(r.rlike(r"^~\s*" + number), pair(lo, tilde))
-        .when(r.rlike(r"^=\s*" + number), pair(lo, v(major, minor, patch + 1)))
-        .when(r.rlike("^" + number), F.when(has3, pair(lo, v(major, minor, patch + 1))).otherwise(pair(lo, caret)))
+        F.when(mark == "*", F.when(from_there, pair(lo, open_end)))
+        .when(~F.forall(p, lambda q: q.isNotNull()), F.lit(None))
+        .when(mark == "~", pair(lo, tilde))
+        .when((n <= 3) & ((mark == "^") | (n < 3)), pair(lo, caret))
+        .when(n == 3, pair(lo, v(a, b, c + 1)))
     )
 
 
 def satisfies(version: Column | str, req: Column | str) -> Column:
     """true, false, or null for unknown."""
-    v, r = core(version), requirement(req)
-    return F.when(r.isNull() | col(version).isNull(), F.lit(None).cast("boolean")).otherwise((v >= r["lo"]) & (r["hi"].isNull() | (v < r["hi"])))
+    known = F.struct(core(version).alias("v"), requirement(req).alias("r"), col(version).isNull().alias("none"))
+    inside = lambda x: (x["v"] >= x["r"]["lo"]) & (x["r"]["hi"].isNull() | (x["v"] < x["r"]["hi"]))
+    return F.transform(F.array(known), lambda x: F.when(~x["r"].isNull() & ~x["none"], inside(x)))[0]

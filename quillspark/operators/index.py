@@ -49,17 +49,20 @@ def _capped(pairs: DataFrame, key: str, cap: int) -> DataFrame:
 
 
 def symbol_index(records: DataFrame, cap: int = SYMBOL_CAP) -> DataFrame:
-    """key, dense_id, ord: keys of name and path, the path also without its crate, first ``cap`` records of each."""
-    path = X.norm_key("full_path")
-    leaf, owner = X.norm_key(X.base_name("name")), X.norm_key(X.base_name("owner"))
-    keys = F.array(leaf, path, F.regexp_replace(path, "^[^:]+::", ""), F.when(owner != "", F.concat_ws("::", owner, leaf)).otherwise(""))
+    """key, dense_id, ord: keys of name, path, owner and module, paths also without the record's crate, first ``cap`` records of each."""
+    name, owner = X.base_name("name"), F.coalesce(X.base_name("owner"), F.lit(""))
+    leaf, crate = X.norm_key(name), F.coalesce(X.norm_key("crate_name"), F.lit("")) if "crate_name" in records.columns else F.lit("")
+    module = F.when(F.coalesce("module", F.lit("")) != "", X.norm_key(F.concat_ws("::", "module", F.nullif(owner, F.lit("")), name)))
+    paths = F.array_compact(F.array(X.norm_key("full_path"), module))
+    short = F.transform(F.filter(paths, lambda p: (crate != "") & p.startswith(F.concat(crate, F.lit("::")))), lambda p: F.substr(p, F.length(crate) + 3))
+    keys = F.concat(F.array(leaf, F.when(owner != "", X.norm_key(F.concat_ws("::", owner, leaf))).otherwise("")), paths, short)
     pairs = records.where("source = 'rustdoc'").select(F.explode(F.array_distinct(keys)).alias("key"), "dense_id").where("key <> ''")
     return _capped(pairs, "key", cap)
 
 
 def token_index(records: DataFrame, cap: int = TOKEN_CAP) -> DataFrame:
-    """term, dense_id, ord: words of names; fields have none."""
-    tokens = F.array_distinct(X.name_tokens(X.base_name("name")))
+    """term, dense_id, ord: words of names and owners; fields have none."""
+    tokens = F.array_distinct(F.concat(X.name_tokens(X.base_name("name")), X.name_tokens(X.base_name(F.coalesce("owner", F.lit(""))))))
     pairs = records.where("source = 'rustdoc' AND kind <> 'field'").select(F.explode(tokens).alias("term"), "dense_id")
     return _capped(pairs, "term", cap)
 

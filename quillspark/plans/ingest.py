@@ -58,12 +58,20 @@ def classify_path(spark, sf):
     return frame(spark, [(p,) for p, _ in PATHS], "path string").select("path", M.classify("path")["kind"].alias("kind"))
 
 
-EXAMPLES = [("examples/2d/sprite.rs", "2d"), ("examples/ui/text.rs", "ui,text"), ("examples/ecs/observers.rs", "ecs,observers"), ("examples/input/keyboard_input.rs", "input"), ("examples/games/timer.rs", "time"), ("examples/x.rs", "")]
+# Paths made from parts: a folder and a file name by the key, some in capitals.
+FOLDERS = ("2d", "ui", "ecs", "games", "shader/gltf", "input", "tools/mesh", "UI", "light", "time/state", "asset", "x/observer")
+PATH_SQL = f"""(SELECT p_partkey AS key, 'examples/' || {list(FOLDERS)}[p_partkey % {len(FOLDERS)} + 1] || '/' || replace(p_name, ' ', '_') ||
+  CASE p_partkey % 7 WHEN 0 THEN '_timer' WHEN 1 THEN '/ui' WHEN 2 THEN '_Camera' WHEN 3 THEN '_system_error' ELSE '' END || '.rs' AS path FROM part)"""
+TAG_SQL = ", ".join("CASE WHEN " + " OR ".join(f"contains('/' || path, '{w}')" for w in a + b) + f" THEN '{tag}' END" for tag, (a, b) in M.TAGS.items())
 
 
-@query(f"SELECT path, tags FROM {values(EXAMPLES)} t(path, tags)")
+@query(f"SELECT key, concat_ws(',', {TAG_SQL}) AS tags FROM {PATH_SQL}")
 def categorise(spark, sf):
-    return frame(spark, [(p,) for p, _ in EXAMPLES], "path string").select("path", F.array_join(M.categorise("path"), ",").alias("tags"))
+    key = F.col("p_partkey")
+    end = F.when(key % 7 == 0, "_timer").when(key % 7 == 1, "/ui").when(key % 7 == 2, "_Camera").when(key % 7 == 3, "_system_error").otherwise("")
+    folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (key % len(FOLDERS) + 1).cast("int"))
+    path = F.concat(F.lit("examples/"), folder, F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), end, F.lit(".rs"))
+    return R.table(spark, sf, "part").select(key.alias("key"), F.array_join(M.categorise(path), ",").alias("tags"))
 
 
 PAGE = "Intro text that stands before any heading of the page.\n# Intro\nThe first part has some forty bytes of text at least.\n```\n# not a heading\n```\n## Details #\nMore text in the second part, long enough to be kept.\n# Short\nno"

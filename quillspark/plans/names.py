@@ -85,7 +85,7 @@ def status_summary(spark, sf):
     return c.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "kind")).cast("long"))  # a row a kind
 
 
-KEYS_SQL = f"""SELECT DISTINCT dense_id, unnest([lower(name), lower(full_path), lower(regexp_replace(full_path, '^[^:]+::', ''))]) AS key FROM {PARTS}"""
+KEYS_SQL = f"""SELECT DISTINCT dense_id, unnest([lower(name), lower(owner || '::' || name), lower(full_path), lower(module || '::' || full_path)]) AS key FROM {PARTS}"""
 
 
 @query(f"SELECT key, dense_id, ord FROM (SELECT key, dense_id, CAST(row_number() OVER (PARTITION BY key ORDER BY dense_id) AS INTEGER) AS ord FROM ({KEYS_SQL})) WHERE ord <= 60")
@@ -100,7 +100,7 @@ SINGULAR = """CASE WHEN strlen(w) > 4 AND w LIKE '%ies' THEN w[:-4] || 'y'
 WORDS_SQL = f"SELECT *, {SINGULAR} AS term FROM (SELECT *, unnest(string_split(lower({SPACED}), ' ')) AS w FROM {PARTS})"
 
 
-@query(f"SELECT term, dense_id, ord FROM (SELECT term, dense_id, CAST(row_number() OVER (PARTITION BY term ORDER BY dense_id) AS INTEGER) AS ord FROM (SELECT DISTINCT term, dense_id FROM ({WORDS_SQL}))) WHERE ord <= 1000")
+@query(f"SELECT term, dense_id, ord FROM (SELECT term, dense_id, CAST(row_number() OVER (PARTITION BY term ORDER BY dense_id) AS INTEGER) AS ord FROM (SELECT DISTINCT term, dense_id FROM ({WORDS_SQL}) UNION SELECT unnest(regexp_extract_all(lower(owner), '[a-z]+|[0-9]+')), dense_id FROM {PARTS})) WHERE ord <= 1000")
 def token_index(spark, sf):
     return I.token_index(R.parts(spark, sf))
 

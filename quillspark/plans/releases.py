@@ -73,10 +73,10 @@ def versions_table(spark, sf):
     return versions(spark).select("version", V.bump(F.lit("0.20.0"), "version")["level"].alias("relative"))
 
 
-REQUIREMENTS = ["^0.20.0", "^0.19", "^0.0.3", ">=0.20.0", "~1.2", "~1.2.3", "=0.20.0", "0.20.0", "0.20", "1", "*", "0.19.*", "1.x", "^1.2.3", "0.0", "junk"]
+REQUIREMENTS = ["^0.20.0", "^0.19", "^0.0.3", ">=0.20.0", "~1.2", "~1.2.3", "=0.20.0", "0.20.0", "0.20", "1", "*", "0.19.*", "1.x", "^1.2.3", "0.0", "junk", "^0.20.0-rc.1", "0.20.X", "x", "^ 1", "~1"]
 RANGES = {
     "^0.20.0": ("0.20.0", "0.21.0"), "^0.19": ("0.19.0", "0.20.0"), "^0.0.3": ("0.0.3", "0.0.4"), ">=0.20.0": None, "~1.2": ("1.2.0", "1.3.0"), "~1.2.3": ("1.2.3", "1.3.0"),
-    "=0.20.0": ("0.20.0", "0.20.1"), "0.20.0": ("0.20.0", "0.20.1"), "0.20": ("0.20.0", "0.21.0"), "1": ("1.0.0", "2.0.0"), "*": ("0.0.0", None), "0.19.*": ("0.19.0", "0.20.0"),
+    "=0.20.0": None, "^0.20.0-rc.1": None, "0.20.X": ("0.20.0", "0.21.0"), "x": ("0.0.0", None), "^ 1": None, "~1": ("1.0.0", "2.0.0"), "0.20.0": ("0.20.0", "0.20.1"), "0.20": ("0.20.0", "0.21.0"), "1": ("1.0.0", "2.0.0"), "*": ("0.0.0", None), "0.19.*": ("0.19.0", "0.20.0"),
     "1.x": ("1.0.0", "2.0.0"), "^1.2.3": ("1.2.3", "2.0.0"), "0.0": ("0.0.0", "0.1.0"), "junk": None,
 }
 RANGES_SQL = values([(r, *(RANGES[r] or (None, None))) for r in REQUIREMENTS])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ def chunks(pages: DataFrame, key: str, body: str) -> DataFrame:
     return many.unionByName(whole)
 
 
-# Tags of example paths: fragments of the path, and words of the file's name.
+# Tags of example paths: folders or files, and words anywhere in the path.
 TAGS = {
     "2d": (["/2d/"], []), "3d": (["/3d/"], []), "ui": (["/ui/", "/ui.rs"], []), "input": (["/input/", "/input.rs"], ["keyboard", "mouse", "gamepad"]),
     "audio": (["/audio/", "/audio.rs"], []), "assets": (["/asset/"], ["assets"]), "ecs": (["/ecs/"], ["system", "schedule", "query", "component"]),
@@ -91,10 +93,10 @@ TAGS = {
 
 
 def categorise(path: Column | str) -> Column:
-    p = F.lower(F.concat(F.lit("/"), X.col(path)))
-    name = F.element_at(F.split(p, "/"), -1)
-    hit = lambda c, words: sum((F.when(c.contains(w), 1).otherwise(0) for w in words), F.lit(0)) > 0
-    return F.array_compact(F.array(*(F.when(hit(p, a) | hit(name, b), F.lit(tag)) for tag, (a, b) in TAGS.items())))
+    c = X.col(path)
+    p = F.when(c.startswith("/"), c).otherwise(F.concat(F.lit("/"), c))
+    hit = lambda words: reduce(lambda x, y: x | y, (p.contains(w) for w in words))
+    return F.array_compact(F.array(*(F.when(hit(a + b), F.lit(tag)) for tag, (a, b) in TAGS.items())))
 
 
 def module_doc(code: Column | str) -> Column:

@@ -51,7 +51,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.regexp_replace(F.initcap("p_name"), " ", "")
     return p.select(
         F.col("p_partkey").alias("dense_id"), F.lit("rustdoc").alias("source"), F.lower(F.regexp_replace("p_type", " ", "_")).alias("kind"), name.alias("name"),
-        F.col("p_brand").alias("owner"), F.lit("part").alias("module"), F.concat("p_brand", F.lit("::"), name).alias("full_path"),
+        F.col("p_brand").alias("owner"), F.lit("part").alias("module"), F.lit("part").alias("crate_name"), F.concat("p_brand", F.lit("::"), name).alias("full_path"),
         F.concat(F.lit("fn "), name, F.lit("(size: "), F.col("p_size").cast("string"), F.lit(")")).alias("signature"), F.col("p_name").alias("docs"),
     )
 

@@ -11,6 +11,12 @@ def one(spark, column, *values):
     return [r.x for r in rows]
 
 
+def test_norm_key_at_any_depth(spark):
+    deep = "A<B<C<D<E<F<G<H<i>>>>>>>>::run"
+    assert one(spark, X.norm_key, deep, "A :: <B>::c()", "a<b") == ["a::run", "a::c", "a"]
+    assert [X.py_norm_key(v) for v in (deep, "A :: <B>::c()", "a<b")] == ["a::run", "a::c", "a"]
+
+
 def test_norm_key(spark):
     values = ["Vec<T>::new()", "a::B<C<D>>::e", "::Core Name", "Iter::<Item>::next", "A -> B", "x<y>z>", "open<never"]
     expected = ["vec::new", "a::b::e", "corename", "iter::next", "a->b", "xz", "open"]
@@ -41,7 +47,7 @@ def test_bytes_are_cut_between_characters(spark):
     assert one(spark, lambda c: X.truncate_bytes(c, 4), "abé€", "abcd", "ééé") == ["abé", "abcd", "éé"]
 
 
-@pytest.mark.parametrize("requirement,version,expected", [("^0.20.0", "0.20.5", True), ("^0.0.3", "0.0.4", False), ("~1.2", "1.2.9", True), ("0.20.0", "0.20.1", False), ("0.20", "0.20.1", True), (">=1", "2.0.0", None), ("*", "9.9.9", True), ("1.*", "1.5.0", True), ("=1.0.0", "1.0.0-rc.1", True)])
+@pytest.mark.parametrize("requirement,version,expected", [("^0.20.0", "0.20.5", True), ("^0.0.3", "0.0.4", False), ("~1.2", "1.2.9", True), ("0.20.0", "0.20.1", False), ("0.20", "0.20.1", True), (">=1", "2.0.0", None), ("*", "9.9.9", True), ("1.*", "1.5.0", True), ("=1.0.0", "1.0.0", None), ("^1.0.0-rc.1", "1.0.0", None), ("0.20.X", "0.20.7", True), ("x", "3.0.0", True), ("~1", "1.9.0", True)])
 def test_requirements(spark, requirement, version, expected):
     row = spark.createDataFrame([(requirement, version)], "r string, v string").select(V.satisfies("v", "r").alias("x")).first()
     assert row.x is expected
