@@ -4,14 +4,16 @@ Words are lower-cased and stripped of ASCII punctuation. Each mask looks at fixe
 the others, so a substituted word breaks only the seeds that look at it. Seeds of the benchmark are joined with those of
 every place of every text; each hit gives an alignment (document, item, shift), which is verified once: over the
 whole aligned overlap, the stretch with the best score (+1 for an equal word, -MISMATCH for a different one) must have
-``min_words`` equal words, or as many as the item has if it is shorter.
+``min_words`` equal words. An item of at most ``min_words`` words must be there whole, with at most one word substituted.
 
 The benchmark's seeds are broadcast in blocks of at most ``BLOCK_WORDS`` words; a larger benchmark takes more passes over
 the texts, it is never cut. Items with one word sequence are one item while searching, and all of them are reported.
 
-Cases: null or empty texts and items match nothing. Items shorter than a mask's span are sought by all their words
-unspaced; items under ``SHORTEST`` words are too short to tell and are not sought. Repeated rows give repeated results in
-``matches`` and count once in ``contaminated``. Rows with null doc_id are searched and reported with the null.
+Cases: null or empty texts and items match nothing. Items of at most ``min_words`` words, or shorter than a mask's span, are sought by three masks of their own
+length, each of which ignores every third word, so that any one substitution is ignored by one of them; items under
+``SHORTEST`` words say nothing inside a longer text and match only texts of just their words. Repeated rows give repeated results in
+``matches`` and count once in ``contaminated``. Rows with null doc_id are searched and reported with the null. Texts are searched
+whole, of any length; other columns are not read, so their names may be any. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,13 @@ from .store import arrow_rows
 MASKS = ("11101100111", "11011011011", "10111101101")
 MISMATCH, SHORTEST, BLOCK_WORDS = 3, 6, 300_000
 _FILTER_BITS = 22
+
+
+def masks_of(n: int, min_words: int) -> tuple[str, ...]:
+    """Masks for items of ``n`` words."""
+    return MASKS if n >= max(len(MASKS[0]), min_words + 1) else tuple("".join("01"[i % 3 != k] for i in range(n)) for k in range(3))
+
+
 _TABLE = bytes(32 if 33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 else c for c in range(256))
 
 
@@ -49,11 +58,16 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
 class Seeds:
     """Seeds of one block of items, sorted, with a bit filter in front."""
 
-    def __init__(self, items: dict[bytes, list]):
+    def __init__(self, items: dict[bytes, list], min_words: int):
         self.ids = list(items.values())
         self.words = [W.hashes(k.split()) for k in items]
-        self.masks = [*MASKS, *("1" * n for n in sorted({len(w) for w in self.words if len(w) < len(MASKS[0])}))]
-        found = [(m, i, seeds(w, mask)) for m, mask in enumerate(self.masks) for i, w in enumerate(self.words) if mask in MASKS or len(w) == len(mask)]
+        self.whole = {w.tobytes(): i for i, w in enumerate(self.words) if len(w) < SHORTEST}
+        by_masks: dict[tuple[str, ...], list[int]] = {}
+        for i, w in enumerate(self.words):
+            if len(w) >= SHORTEST:
+                by_masks.setdefault(masks_of(len(w), min_words), []).append(i)
+        self.masks = [mask for masks in by_masks for mask in masks]
+        found = [(self.masks.index(mask), i, seeds(self.words[i], mask)) for masks, items in by_masks.items() for mask in masks for i in items]
         h = np.concatenate([s for _, _, s in found]) if found else np.empty(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.h = h[order]
@@ -79,12 +93,15 @@ class Seeds:
         w = self.words[item]
         lo, hi = max(0, shift), min(len(h), shift + len(w))
         same = h[lo:hi] == w[lo - shift : hi - shift]
+        if len(w) <= min_words:
+            equal = int(same.sum())
+            return (equal, len(w), lo) if equal >= len(w) - 1 else None
         total = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
         gain = total - np.minimum.accumulate(total)
         end = int(gain.argmax())
         start = end - 1 - int(np.argmin(total[:end][::-1])) if end else 0
         equal = int(same[start:end].sum())
-        return (equal, end - start, lo + start) if equal >= min(min_words, len(w)) else None
+        return (equal, end - start, lo + start) if equal >= min_words else None
 
 
 def _search(block, min_words: int) -> Callable:
@@ -111,6 +128,9 @@ def _search(block, min_words: int) -> Callable:
                         break
                     if got := b.verify(docs[d][1], item, shift - first, min_words):
                         best[d, item] = max(best.get((d, item), got), got)
+            for d, (_, words) in enumerate(docs):
+                if len(words) < SHORTEST and (item := b.whole.get(words.tobytes())) is not None:
+                    best[d, item] = (len(words), len(words), 0)
             rows = [(docs[d][0], i, *got) for (d, item), got in sorted(best.items()) for i in b.ids[item]]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
@@ -135,7 +155,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[dict[bytes, list]]:
     size = 0
     for item, text in benchmark.select("item_id", "text").toLocalIterator():
         t = tokens(text)
-        if len(t) < SHORTEST:
+        if not t:
             continue
         items.setdefault(b" ".join(t), []).append(item)
         size += len(t)
@@ -153,7 +173,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 13) -> DataF
     schema = "doc_id long, item_id long, equal_words long, compared_words long, start_word long"
     out = None
     for items in _blocks(benchmark):
-        block = spark.sparkContext.broadcast(Seeds(items))
+        block = spark.sparkContext.broadcast(Seeds(items, min_words))
         part = docs.select("doc_id", "text").mapInArrow(_search(block, min_words), schema.replace("item_id", "item")).withColumnRenamed("item", "item_id")
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out

@@ -5,13 +5,13 @@ are read in order by an automaton whose states are the role of the message befor
 a dynamic program may keep it, merge it into the message before when that has its role, relabel it, or insert empty
 messages first, and takes the cheapest way to a legal end. Ties prefer keeping, then merging, relabelling, inserting.
 
-A turn's effect is a 4 x 4 table of costs, and tables compose by (min, +), so a very long conversation is cut into blocks
-of ``BLOCK`` turns: a block's table is found by itself, the blocks' tables fix the state at every block's
+A turn's effect is a 4 x 4 table of costs, and tables compose by (min, +), so a conversation is cut into blocks
+of ``BLOCK`` turns by place, whatever its length: a block's table is found by itself, the blocks' tables fix the state at every block's
 edges, and each block then renders its own part. Concatenated in the order of ``part``, the parts are the conversation.
 
 Cases: roles are trimmed and lower-cased; null or unknown ones must be relabelled. Null text is empty. Turns with one
 number are taken in the order of role and text, repeated rows too; null numbers come first. Rows with null conv_id are one
-conversation. The markers in a text are broken by a blank, so that a text can't forge a turn. No rows, no result.
+conversation. Of other columns none is read. The markers in a text are broken by a blank, so that a text can't forge a turn. No rows, no result.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import Tables, arrow_rows, running_sum
+from .store import Tables, arrow_rows, join_small, running_sum
 
 ROLES = ("system", "user", "assistant")
 #: Roles that may follow each state: the start, then a message of each role.
 NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 MERGE, RELABEL, INSERT = 1.0, 2.0, 3.0
-BLOCK, LARGEST = 512, 4096
+BLOCK = 512
 STATES = 4
 _INF = float("inf")
 
@@ -183,12 +183,12 @@ def repair(conversations: DataFrame) -> DataFrame:
     arrow_rows(spark)
     tables = Tables(spark, "chat")
     conv = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))  # never null
-    c = conversations.select(conv.alias("conv"), "turn", "role", "text").withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).cast("long"))
-    if c.groupBy("conv", "block").count().where(F.col("count") > LARGEST).limit(1).count():
-        # many turns with one number: blocks by place in the whole order instead
-        c = running_sum(tables, c.withColumn("one", F.lit(1)), ["conv", "turn", "role", "text"], {"one": "place"}, "turns")
-        c = c.withColumn("block", F.floor(F.col("place") / BLOCK).cast("long"))
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))  # at most LARGEST turns
+    c = conversations.select(conv.alias("conv"), "turn", "role", "text").withColumn("one", F.lit(1).cast("long"))
+    # places in the whole order, less the place of the conversation's first turn: no task needs a whole conversation
+    c = tables.save(running_sum(tables, c, ["conv", "turn", "role", "text"], {"one": "place"}, "turns"), "places")
+    first = tables.save(c.groupBy("conv").agg(F.min("place").alias("first")), "firsts")
+    c = join_small(c, first, ["conv"], "place").withColumn("block", F.floor((F.col("place") - F.col("first")) / BLOCK).cast("long"))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))  # at most BLOCK turns
     blocks = tables.save(c.groupBy("conv", "block").agg(turns.alias("turns")), "blocks")
     costs = blocks.mapInArrow(_tables(), "conv string, block long, costs array<double>")
     order = costs.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("block", "costs"))).alias("blocks"))  # a row a BLOCK of turns

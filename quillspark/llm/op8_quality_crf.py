@@ -8,7 +8,9 @@ documents turns it into the probability of label 1.
 
 Learning takes at most ``TRAIN`` labelled documents in expectation, picked by a hash of the id. Cases: null and empty
 texts have no lines and get the training share of label 1; so does everything when the training labels are all equal or
-absent (0.5 then). Null labels teach nothing; of repeated labels of an id each counts. Extra columns are ignored.
+absent (0.5 then). Null labels teach nothing; of repeated labels of an id each counts, and so does each repeated row of documents. Extra columns
+are ignored. An empty table gives no rows, and learning from one gives 0.5 everywhere. Texts are scored whole: those of like length
+are padded together to at most ``PADDED`` lines in all, and a longer one goes by itself, its features in pieces of ``PIECE`` lines.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .store import arrow_rows
 TRAIN, THRESHOLD = 4_000, 0.3
 #: Passes over the training documents, documents a step, step size and weight decay of the fit.
 EPOCHS, BATCH, RATE, DECAY = 30, 128, 0.05, 1e-4
+#: Lines, padding included, that are scored together; lines whose features are widened at a time.
+PADDED, PIECE = 64 * 512, 4096
 _SYMBOLS, _DIGITS, _UPPER, _ENDS = b"#*$%&|<>", b"0123456789", bytes(range(65, 91)), (b".", b"!", b"?", b":")
 _N = 11
 
@@ -35,8 +39,8 @@ def held_out() -> Column:
 
 
 def lines(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each line with a word and of its neighbours, and its length."""
-    own, seen = [], set()
+    """Features of each line with a word, and its length."""
+    own, done, seen = [], [], set()
     for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
         w = line.split()
         if not w:
@@ -48,15 +52,21 @@ def lines(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             w.count(b"|") / n, float(line in seen), float(w[-1].endswith(_ENDS)), chars,
         ))
         seen.add(line)
-    if not own:
-        return np.empty((0, 3 * _N)), np.empty(0)
-    x = np.array(own)
-    f, none = x[:, :_N], np.zeros((1, _N))
-    return np.hstack([f, np.vstack([none, f[:-1]]), np.vstack([f[1:], none])]), x[:, _N]
+        if len(own) == PIECE:
+            done.append(np.array(own))
+            own = []
+    x = np.vstack([*done, np.array(own).reshape(-1, _N + 1)])
+    return x[:, :_N], x[:, _N]
 
 
-def _forward_backward(e: np.ndarray, real: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of good for padded emission scores ``e`` (documents x lines), and expected transitions (2 x 2).
+def around(f: np.ndarray) -> np.ndarray:
+    """A line's features, those of the line before and those of the line after (zeros where there is none)."""
+    none = np.zeros((1, _N))
+    return np.hstack([f, np.vstack([none, f[:-1]]), np.vstack([f[1:], none])])
+
+
+def _forward_backward(e: np.ndarray, real: np.ndarray, t: np.ndarray, transitions: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of good for padded emission scores ``e`` (documents x lines), and expected transitions (2 x 2; zeros if not asked for).
 
     ``t``: transition scores. Lines beyond a text's end (``real`` false) pass states on unchanged.
     """
@@ -75,7 +85,7 @@ def _forward_backward(e: np.ndarray, real: np.ndarray, t: np.ndarray) -> tuple[n
     z = np.logaddexp(a[-1, :, 0], a[-1, :, 1])
     good = np.exp(np.clip(a[:, :, 1] + b[:, :, 1] - z, -50, 0)).T
     pairs = np.zeros((2, 2))
-    for i in range(1, m):
+    for i in range(1, m if transitions else 0):
         for x in range(2):
             for y in range(2):
                 s = a[i - 1, :, x] + t[x, y] + (e[:, i] if y else 0) + b[i, :, y] - z
@@ -100,7 +110,7 @@ class Model:
         self.fitted = len({int(labels[i]) for i in use}) == 2
         if not self.fitted:
             return
-        xs, y = [docs[i][0] for i in use], labels[use].astype(float)
+        xs, y = [around(docs[i][0]) for i in use], labels[use].astype(float)
         every = np.vstack(xs)
         self.mean, self.std = every.mean(axis=0), every.std(axis=0) + 1e-6
         xs = [np.hstack([(x - self.mean) / self.std, np.ones((len(x), 1))]) for x in xs]
@@ -135,16 +145,29 @@ class Model:
         q = np.clip(q, 1e-4, 1 - 1e-4)
         return np.log(q / (1 - q))
 
+    def emissions(self, f: np.ndarray) -> np.ndarray:
+        parts = []
+        for at in range(0, len(f), PIECE):
+            before = min(at, 1)
+            x = around(f[at - before : at + PIECE + 1])[before : before + PIECE]
+            parts.append(((x - self.mean) / self.std) @ self.w[:-1] + self.w[-1])
+        return np.concatenate(parts)
+
     def raw(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Length-weighted means of the marginals; texts of like length are padded together."""
         out = np.zeros(len(docs))
         order = np.argsort([len(x) for x, _ in docs], kind="stable")
-        for at in range(0, len(order), 64):
-            some = [docs[i] for i in order[at : at + 64]]
-            e, real = _padded([((x - self.mean) / self.std) @ self.w[:-1] + self.w[-1] for x, _ in some])
+        at = 0
+        while at < len(order):
+            to = at + 1
+            while to < min(at + 64, len(order)) and (to + 1 - at) * len(docs[order[to]][0]) <= PADDED:
+                to += 1
+            some = [docs[i] for i in order[at:to]]
+            e, real = _padded([self.emissions(x) for x, _ in some])
             n, _ = _padded([n for _, n in some])
-            good, _ = _forward_backward(e, real, self.t)
-            out[order[at : at + 64]] = (good * n).sum(axis=1) / n.sum(axis=1)
+            good, _ = _forward_backward(e, real, self.t, False)
+            out[order[at:to]] = (good * n).sum(axis=1) / n.sum(axis=1)
+            at = to
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -177,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     # the sample's size is bounded by TRAIN, so it may be broadcast, and its features collected
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_features(), "label int, x array<double>, n array<double>").collect()
     rows.sort(key=lambda r: (len(r["x"]), r["label"], r["x"]))  # one order, whatever the tasks' was
-    return Model([(np.array(r["x"]).reshape(-1, 3 * _N), np.array(r["n"])) for r in rows], np.array([r["label"] for r in rows]))
+    return Model([(np.array(r["x"]).reshape(-1, _N), np.array(r["n"])) for r in rows], np.array([r["label"] for r in rows]))
 
 
 def _predict(model) -> Callable:

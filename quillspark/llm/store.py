@@ -24,6 +24,8 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = DEFAULT_DIR
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

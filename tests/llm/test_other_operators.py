@@ -143,12 +143,38 @@ def test_long_conversations_go_in_parts(spark, monkeypatch):
         mine = [p for p in parts if p.conv_id == conv]
         assert sum(p.cost for p in mine) == whole[conv][1]
     assert whole[1][1] == cheapest([q7.code(r) for r in roles])
-    monkeypatch.setattr(q7, "LARGEST", 8)
     again = q7.repair(c.withColumn("turn", F.lit(0).cast("long"))).where("conv_id = 1")
     assert again.count() > 10
     assert q7.repair(c.where("false")).count() == 0
 
 
+def test_chat_order_repeats_and_clashing_columns(spark):
+    rows = [(1, -600, "user", "low"), (1, None, "user", "null"), (1, 5, "assistant", "a"), (1, 5, "assistant", "a")]
+    c = spark.createDataFrame([(*r, 0, 1) for r in rows], "conv_id long, turn long, role string, text string, part long, block long")
+    got = q7.repair(c).collect()
+    assert len(got) == 1 and got[0].n_turns == 4 and got[0].n_merged == 2
+    assert [got[0].rendered.index(x) for x in ("null", "low", "assistant")] == sorted(got[0].rendered.index(x) for x in ("null", "low", "assistant"))
+
+
+def test_crf_scores_long_texts_in_pieces(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda n, bad: "\n".join(" ".join(rng.choice("| # | && x".split() if bad else "alpha beta gamma delta.".split()) for _ in range(8)) for _ in range(n))
+    rows = [(i, text(1 + i % 7, i % 2), i % 2) for i in range(120)]
+    docs = spark.createDataFrame([(i, t, 1 - bad, 9.0) for i, t, bad in rows], "doc_id long, text string, label int, score double")
+    labels = docs.select("doc_id", "label")
+    model = q8.learn(docs, labels)
+    texts = [text(n, n % 2) for n in (1, 50, 333, 20)]
+    whole = model.score(texts)
+    monkeypatch.setattr(q8, "PIECE", 16)
+    monkeypatch.setattr(q8, "PADDED", 60)
+    assert np.allclose(model.score(texts), whole) and whole[1] > 0.5 > whole[0]
+    twice = docs.unionByName(docs)
+    got = q8.classify(twice, model).collect()
+    assert len(got) == 240 and len({(r.doc_id, r.score) for r in got}) == 120
+    assert q8.classify(docs.where("false"), q8.learn(docs.where("false"), labels)).count() == 0
+    assert set(q8.learn(docs.where("false"), labels).score(["a b", None])) == {0.5}
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(0)
     e, t = rng.normal(size=(1, 5)), rng.normal(size=(2, 2))

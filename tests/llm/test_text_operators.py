@@ -204,6 +204,23 @@ def test_spaced_seeds_bear_substitutions(spark):
     assert {r.doc_id for r in q10.contaminated(table(spark, rows), bench).collect()} == {1, 5}
 
 
+def test_short_items_bear_one_substitution(spark):
+    for n in (6, 8, 10, 11, 13):
+        item = [f"s{n}x{i}" for i in range(n)]
+        docs = [(i, "lead " + " ".join("other" if j == i else w for j, w in enumerate(item)) + " tail") for i in range(n)]
+        docs += [(n, "lead " + " ".join(item)), (n + 1, " ".join("other" if j in (1, 4) else w for j, w in enumerate(item))), (n + 2, " ".join(item[:-2]))]
+        bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+        assert {r.doc_id: r.equal_words for r in q10.matches(table(spark, docs), bench).collect()} == {**dict.fromkeys(range(n), n - 1), n: n}
+
+
+def test_shortest_items_match_whole_texts(spark):
+    bench = spark.createDataFrame([(1, "two words"), (2, "Two, words!"), (3, ""), (4, "..."), (5, None)], "item_id long, text string")
+    docs = table(spark, [(1, "two WORDS."), (2, "two words more"), (3, ""), (4, None), (None, "two words"), (1, "two words")])
+    assert sorted((r.doc_id or 0, r.item_id) for r in q10.matches(docs, bench).collect()) == [(0, 1), (0, 2), (1, 1), (1, 1), (1, 2), (1, 2)]
+    assert {r.doc_id for r in q10.contaminated(docs.withColumn("item_id", F.lit(3)), bench).collect()} == {1, None}
+    assert q10.matches(docs, bench.where("false")).count() == q10.matches(docs.where("false"), bench).count() == 0
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(q10, "BLOCK_WORDS", 10)
     bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(15))) for i in range(4)], "item_id long, text string")
