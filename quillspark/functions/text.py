@@ -166,3 +166,13 @@ def py_norm_key(value: str) -> str:
         value = out
     value = re.sub(r"\(\)$", "", re.sub(r"\s+", "", value))
     return re.sub("^::", "", value).lower()
+
+
+def is_symbol(query: Column | str) -> Column:
+    """Whether a query has the shape of a name: one word, or a path."""
+    return col(query).rlike(r"(?U)^\s*\S+\s*\z") | col(query).contains("::")
+
+
+def is_error_page(file: Column | str) -> Column:
+    """File names of error codes: B, four digits, .md."""
+    return col(file).rlike(r"^B[0-9]{4}\.md\z")

@@ -77,3 +77,28 @@ def satisfies(version: Column | str, req: Column | str) -> Column:
     known = F.struct(core(version).alias("v"), requirement(req).alias("r"), col(version).isNull().alias("none"))
     inside = lambda x: (x["v"] >= x["r"]["lo"]) & (x["r"]["hi"].isNull() | (x["v"] < x["r"]["hi"]))
     return F.transform(F.array(known), lambda x: F.when(~x["r"].isNull() & ~x["none"], inside(x)))[0]
+
+
+def directory_name(version: Column | str) -> Column:
+    """A version as a folder's name: other characters than letters, digits and . _ + - become _."""
+    return F.regexp_replace(col(version), "[^A-Za-z0-9._+-]", "_")
+
+
+def display(name: Column | str) -> Column:
+    """0-43-1 as 0.43.1; names with anything but digits and dashes stay."""
+    return F.when(col(name).rlike("^[0-9-]*[0-9][0-9-]*\\z"), F.translate(col(name), "-", ".")).otherwise(col(name))
+
+
+def age_days(moment: Column | str, now: Column) -> Column:
+    """Whole days from an RFC 3339 moment to ``now``, at least 0; null where it is no such moment."""
+    rfc = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})\z"
+    days = F.floor((now.cast("double") - F.upper(col(moment)).try_cast("timestamp").cast("double")) / 86400)
+    return F.when(col(moment).rlike(rfc), F.when(days < 0, 0).otherwise(days)).cast("long")
+
+
+def index_address(package: Column | str) -> Column:
+    """Address of a package's file in the sparse index: folders by the length and the first letters of the name."""
+    name = F.translate(col(package), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n, cut = F.octet_length(name), lambda at, size: F.substring(name, at, size)
+    folder = F.when(n == 0, "").when(n < 3, F.concat(n.cast("string"), F.lit("/"))).when(n == 3, F.concat(F.lit("3/"), cut(1, 1), F.lit("/"))).otherwise(F.concat(cut(1, 2), F.lit("/"), cut(3, 2), F.lit("/")))
+    return F.concat(F.lit("https://index.crates.io/"), folder, name)

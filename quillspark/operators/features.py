@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Names reachable from ``seeds`` (name) over ``edges`` (src, dst), seeds included; cycles and self-loops end.
@@ -23,7 +25,7 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         rounds += 1
         if rounds % 4 == 0:
             if spark.sparkContext.getCheckpointDir() is None:
-                spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+                spark.sparkContext.setCheckpointDir(shared_dir(spark))
             frontier, reached = frontier.checkpoint(), reached.checkpoint()
         if not frontier.limit(1).count():
             return reached

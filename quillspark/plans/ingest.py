@@ -9,6 +9,7 @@ from ..operators import systems as Y
 from ..sources import html as H
 from ..sources import markdown as M
 from ..sources import records as R
+from ..session import shared_dir
 from .releases import frame, values
 
 QUERIES, SQL = {}, {}
@@ -138,7 +139,6 @@ def union_sources(spark, sf):
 def scan_ndjson(spark, sf):
     import uuid
 
-    root = (spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints").rstrip("/")
-    path = f"{root}/ndjson-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ndjson-{uuid.uuid4().hex}"
     frame(spark, [('{"name":"A","kind":"struct","docs":"first","unknown":1}',), ("",), ('{"name":"B","kind":"fn","draft":true}',)], "value string").coalesce(1).write.text(path)
     return R.read_ndjson(spark, path).select("name", "kind", "docs", "draft")

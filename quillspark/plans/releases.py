@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions import uri as U
 from ..functions import versions as V
 from ..operators import compat as C
@@ -272,3 +273,59 @@ def parse_uri(spark, sf):
 def uri_codec(spark, sf):
     p = R.table(spark, sf, "pages").withColumn("encoded", U.encode("url"))
     return p.select("page_id", "encoded", U.decode("encoded").alias("decoded"))
+
+
+@query("""
+SELECT p_partkey AS id, regexp_replace(p_name || '/' || p_brand || '+' || p_partkey, '[^A-Za-z0-9._+-]', '_', 'g') AS directory,
+  (p_partkey % 3) || '.' || (p_partkey % 50) || '.' || (p_partkey % 7) AS numeric, p_brand || '-' || p_partkey AS other
+FROM part""")
+def version_directories(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", "p_brand")
+    key = lambda n: (F.col("p_partkey") % n).cast("string")
+    return p.select(
+        F.col("p_partkey").alias("id"),
+        V.directory_name(F.concat("p_name", F.lit("/"), "p_brand", F.lit("+"), F.col("p_partkey").cast("string"))).alias("directory"),
+        V.display(F.concat_ws("-", key(3), key(50), key(7))).alias("numeric"),
+        V.display(F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string"))).alias("other"),
+    )
+
+
+@query("""
+WITH n AS (SELECT p_partkey AS id, lower(left(replace(p_name, ' ', '-'), CAST(p_partkey % 6 AS INTEGER))) AS name FROM part)
+SELECT id, 'https://index.crates.io/' || list_aggregate(list_filter(
+  CASE length(name) WHEN 0 THEN [] WHEN 1 THEN ['1', name] WHEN 2 THEN ['2', name] WHEN 3 THEN ['3', name[1], name] ELSE [name[1:2], name[3:4], name] END, lambda x: true), 'string_agg', '/') AS address
+FROM n WHERE name <> '' UNION ALL SELECT id, 'https://index.crates.io/' FROM n WHERE name = ''""")
+def index_addresses(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    name = F.initcap(F.expr("left(replace(p_name, ' ', '-'), int(p_partkey % 6))"))
+    return p.select(F.col("p_partkey").alias("id"), V.index_address(name).alias("address"))
+
+
+@query("""
+WITH q AS (SELECT p_partkey AS id, unnest([p_name, ' ' || p_brand || ' ', p_name || '::' || p_type, '']) AS query FROM part)
+SELECT id, query, len(list_filter(regexp_split_to_array(query, '\\s+'), lambda w: w <> '')) = 1 OR position('::' IN query) > 0 AS symbol FROM q""")
+def symbol_shape(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    texts = F.array("p_name", F.concat(F.lit(" "), "p_brand", F.lit(" ")), F.concat("p_name", F.lit("::"), "p_type"), F.lit(""))
+    return p.select(F.col("p_partkey").alias("id"), F.explode(texts).alias("query")).withColumn("symbol", X.is_symbol("query"))
+
+
+@query("""
+WITH f AS (SELECT unnest(['B' || p_partkey || '.md', 'B' || right('000' || p_partkey, 4) || '.md', p_brand || '.md', 'B' || right('000' || p_partkey, 4) || '.txt']) AS file FROM part)
+SELECT file, count(*) AS n FROM f WHERE length(file) = 8 AND file[1] = 'B' AND file[6:8] = '.md' AND try_cast(file[2:5] AS INTEGER) IS NOT NULL GROUP BY file""")
+def error_pages(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    key = F.col("p_partkey").cast("string")
+    padded = F.concat(F.lit("B"), F.expr("right(concat('000', string(p_partkey)), 4)"))
+    files = F.array(F.concat(F.lit("B"), key, F.lit(".md")), F.concat(padded, F.lit(".md")), F.concat("p_brand", F.lit(".md")), F.concat(padded, F.lit(".txt")))
+    return p.select(F.explode(files).alias("file")).where(X.is_error_page("file")).groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH e AS (SELECT event_id, date_trunc('second', ts) AS moment, min(date_trunc('second', ts)) OVER () + INTERVAL 36 HOUR AS now FROM events)
+SELECT event_id, CAST(greatest(0, floor((epoch(now) - epoch(moment)) / 86400)) AS BIGINT) AS days, CAST(NULL AS BIGINT) AS none FROM e""")
+def snapshot_age(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
+    now = (F.col("first").cast("timestamp").cast("double") + 36 * 3600)
+    e = e.crossJoin(F.broadcast(e.agg(F.min("at").alias("first"))))  # one row
+    return e.select("event_id", V.age_days("at", now).alias("days"), V.age_days(F.substring("at", 1, 10), now).alias("none"))

@@ -21,3 +21,11 @@ def ship(spark: SparkSession) -> None:
     top = os.path.realpath(tempfile.mkdtemp())
     spark.sparkContext.addPyFile(shutil.make_archive(f"{top}/quillspark", "zip", package.parent, package.name))
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session may do without the setting."""
+    path = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (path or "/tmp/checkpoints").rstrip("/")

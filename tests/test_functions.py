@@ -66,3 +66,13 @@ def test_common_prefix(spark):
     d = spark.createDataFrame([("abc", "abd"), ("", "x"), ("same", "same")], "a string, b string")
     assert [r.x for r in d.select(X.common_prefix("a", "b").alias("x")).collect()] == [2, 0, 4]
     assert d.select(F.size(X.prose_tokens(F.lit("Ça va, l'été!"))).alias("n")).first().n == 4
+
+
+def test_names_of_folders_files_and_addresses(spark):
+    df = spark.createDataFrame([("0-43-1", "B0004.md", "Query<A>"), ("main-1", "B004.md", "two words"), ("a b/c", "b0004.md", "a b::c"), ("---", "B0004.md\n", ""), (None, None, None)], "v string, f string, q string")
+    got = df.select(V.display("v"), V.directory_name("v"), X.is_error_page("f"), X.is_symbol("q")).collect()
+    assert [tuple(r) for r in got] == [("0.43.1", "0-43-1", True, True), ("main-1", "main-1", False, False), ("a b/c", "a_b_c", False, True), ("---", "---", False, False), (None, None, None, None)]
+    names = spark.createDataFrame([("a",), ("Ab",), ("abc",), ("Serde",), ("",)], "n string")
+    assert [r[0].removeprefix("https://index.crates.io/") for r in names.select(V.index_address("n")).collect()] == ["1/a", "2/ab", "3/a/abc", "se/rd/serde", ""]
+    at = spark.createDataFrame([("2024-01-01T00:00:00+02:00",), ("2024-01-09T00:00:00Z",), ("2024-01-01",), ("2024-13-01T00:00:00Z",)], "t string")
+    assert [r[0] for r in at.select(V.age_days("t", F.lit("2024-01-03T00:00:00Z").cast("timestamp"))).collect()] == [2, 0, None, None]
