@@ -13,6 +13,9 @@ from . import (
     op8_quality_crf,
     op9_license_scan,
     op10_decontamination,
+    op11_source_divergence,
+    op12_periodic_runs,
+    op13_packing,
 )
 
 QUERIES = {
@@ -26,5 +29,8 @@ QUERIES = {
     "op8_quality_crf": op8_quality_crf.query,
     "op9_license_scan": op9_license_scan.query,
     "op10_spaced_seed_decontamination": op10_decontamination.query,
+    "op11_source_divergence": op11_source_divergence.query,
+    "op12_periodic_runs": op12_periodic_runs.query,
+    "op13_retrieval_packing": op13_packing.query,
 }
-ORACLE_SQL = {"op3_line_dedup": op3_line_dedup.ORACLE_SQL, "op5_substring_dedup": op5_substring_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op3_line_dedup": op3_line_dedup.ORACLE_SQL, "op5_substring_dedup": op5_substring_dedup.ORACLE_SQL, "op11_source_divergence": op11_source_divergence.ORACLE_SQL}
