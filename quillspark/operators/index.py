@@ -43,7 +43,7 @@ def facets(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def _capped(pairs: DataFrame, key: str, cap: int) -> DataFrame:
+def capped(pairs: DataFrame, key: str, cap: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy("dense_id")
     return pairs.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= cap)
 
@@ -57,19 +57,14 @@ def symbol_index(records: DataFrame, cap: int = SYMBOL_CAP) -> DataFrame:
     short = F.transform(F.filter(paths, lambda p: (crate != "") & p.startswith(F.concat(crate, F.lit("::")))), lambda p: F.substr(p, F.length(crate) + 3))
     keys = F.concat(F.array(leaf, F.when(owner != "", X.norm_key(F.concat_ws("::", owner, leaf))).otherwise("")), paths, short)
     pairs = records.where("source = 'rustdoc'").select(F.explode(F.array_distinct(keys)).alias("key"), "dense_id").where("key <> ''")
-    return _capped(pairs, "key", cap)
+    return capped(pairs, "key", cap)
 
 
 def token_index(records: DataFrame, cap: int = TOKEN_CAP) -> DataFrame:
     """term, dense_id, ord: words of names and owners; fields have none."""
     tokens = F.array_distinct(F.concat(X.name_tokens(X.base_name("name")), X.name_tokens(X.base_name(F.coalesce("owner", F.lit(""))))))
     pairs = records.where("source = 'rustdoc' AND kind <> 'field'").select(F.explode(tokens).alias("term"), "dense_id")
-    return _capped(pairs, "term", cap)
-
-
-def postings(records: DataFrame, id_: str, tokens: Column) -> DataFrame:
-    """term, id, tf."""
-    return records.select(id_, F.explode(tokens).alias("term")).groupBy("term", id_).agg(F.count("*").alias("tf"))
+    return capped(pairs, "term", cap)
 
 
 def field_stats(records: DataFrame, tokens: Column, terms: list[str]) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.vocab import DEFINITIONS, FIELD_BOOST, INTENTS, KIND_WEIGHT, MEMBERS, OTHER_WEIGHT, POOL, SOURCE_WEIGHT
-from . import index
+from ..functions.vocab import DEFINITIONS, INTENTS, KIND_WEIGHT, MEMBERS, OTHER_WEIGHT, SOURCE_WEIGHT
 
 
 def record_weight() -> Column:
@@ -90,16 +89,6 @@ def symbol_rank() -> Column:
     return F.when(kind.isin(*DEFINITIONS), 0).when(kind == "module", 1).when(kind.isin(*MEMBERS), 2).otherwise(3)
 
 
-def lookup(records: DataFrame, symbols: DataFrame, query: str) -> DataFrame:
-    """Records of a symbol key with ``score``: 1100 where the whole path is the query's, else 1000. The key reaches the
-    scan of the index; its rows are at most the postings' cap."""
-    key = X.py_norm_key(query)
-    found = symbols.where(F.col("key") == key).select("dense_id")
-    whole = ("::" in key) & 1
-    score = F.when(F.lit(bool(whole)) & (X.norm_key("full_path") == key), 1100.0).otherwise(1000.0)
-    return records.join(F.broadcast(found), "dense_id").withColumn("score", score).withColumn("rank", symbol_rank())
-
-
 def definition_key() -> Column:
     named = F.concat_ws("|", F.lit("rustdoc"), "source_ref", "kind", X.base_name("owner"), "name")
     return F.when((F.col("source") == "rustdoc") & (F.coalesce("source_ref", F.lit("")) != ""), named).otherwise(F.col("hash"))
@@ -110,46 +99,6 @@ def first_of(rows: DataFrame, key: list, order: list) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def hybrid_search(records: DataFrame, query: str, filters: Column | None = None, limit: int = 8, pool: int = POOL, key: list | None = None) -> DataFrame:
-    """dense_id, score: exact names first, then text and name evidence merged.
-
-    Text: BM25 over name, signature and docs; records with every term and those with any both give a pool, filters
-    come after the pool is cut. Names count only where no exact record passed.
-    """
-    terms, surfaces, subj, wanted = X.py_query_terms(query), X.py_query_words(query), X.py_subjects(query), X.py_norm_key(query)
-    ok = F.lit(True) if filters is None else filters
-    keep = [c for c in ("dense_id", "kind", "source", "name", "owner", "full_path", "module", "docs", "signature") if c in records.columns]
-    r = records.select(*records.columns, X.norm_key(X.base_name("name")).alias("_k"), X.norm_key("full_path").alias("_p"), F.concat_ws("::", X.norm_key(X.base_name("owner")), X.norm_key(X.base_name("name"))).alias("_o"))
-    stripped = F.regexp_replace("_p", "^[^:]+::", "")
-    exact = r.where(((F.col("_k") == wanted) | (F.col("_p") == wanted) | (F.col("_o") == wanted) | (stripped == wanted)) & ok)
-    exact = exact.select("dense_id", (10000 + F.when((F.col("_p") == wanted) & F.lit("::" in wanted), 1100.0).otherwise(1000.0) * record_weight()).alias("score"))
-    if not terms:
-        return exact.orderBy(F.desc("score"), "dense_id").limit(limit)
-    weight, boost = record_weight(), relevance(subj, surfaces)
-    fields = [index.bm25(records.where("kind <> 'field'"), X.prose_tokens(c) if c == "docs" else X.identifier_tokens(c), terms, ["dense_id"], b, f"s_{c}").drop("matched") for c, b in FIELD_BOOST.items()]
-    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), fields)
-    raw = raw.groupBy("dense_id").agg(*(F.coalesce(F.sum(f"s_{c}"), F.lit(0.0)).alias(f"s_{c}") for c in FIELD_BOOST))
-    raw = raw.select("dense_id", reduce(lambda a, b: a + b, (F.col(f"s_{c}") for c in FIELD_BOOST)).alias("bm25"))
-    every = F.concat(*(X.prose_tokens(c) if c == "docs" else X.identifier_tokens(c) for c in FIELD_BOOST))
-    strict = records.where(F.forall(F.array(*map(F.lit, terms)), lambda t: F.array_contains(every, t))).select("dense_id")
-    cut = [F.desc("bm25"), "dense_id"]
-    in_pool = raw.join(strict, "dense_id", "left_semi").orderBy(*cut).limit(pool).unionByName(raw.orderBy(*cut).limit(pool)).distinct()
-    text = prepare(records.where(ok).select(*keep)).join(in_pool, "dense_id").select("dense_id", (F.col("bm25") * weight * boost * docs_coverage(subj)).alias("text_raw"))
-    concept = (name_coverage(subj) > 0) & (F.col("kind").isin(*DEFINITIONS) | (name_coverage(subj) == len(subj)))
-    tokens = X.name_tokens(X.base_name("name"))
-    names = records.where((F.col("source") == "rustdoc") & (F.col("kind") != "field") & F.arrays_overlap(tokens, F.array(*map(F.lit, terms))) & ok)
-    names = prepare(names).where(name_coverage(subj) > 0).select("dense_id", (F.when(concept, 240.0).otherwise(90.0) * weight * boost).alias("name_raw"))
-    names = names.join(F.broadcast(exact.limit(1).select(F.lit(1).alias("_e"))), F.lit(True), "left_anti")
-    merged = text.join(names, "dense_id", "full_outer").join(exact.select("dense_id"), "dense_id", "left_anti")
-    top = merged.agg(F.max("text_raw").alias("top"))
-    band = F.coalesce(F.col("text_raw") / F.when(F.col("top") > 0, F.col("top")) * 850, F.lit(0.0))
-    merged = merged.crossJoin(F.broadcast(top)).select("dense_id", F.when(F.coalesce("name_raw", F.lit(0.0)) > 0, F.col("name_raw") + 0.3 * band).otherwise(band).alias("score"))
-    out = exact.unionByName(merged)
-    if key:
-        out = first_of(out.join(records, "dense_id"), key, [F.desc("score"), "dense_id"]).select("dense_id", "score")
-    return out.orderBy(F.desc("score"), "dense_id").limit(limit)
-
-
 def suggestions(records: DataFrame, query: str, limit: int = 5) -> DataFrame:
     """dense_id, score of near misses: shared words (the last one most), common prefix, less the edit distance; without any
     shared word, names within edit distance 3."""

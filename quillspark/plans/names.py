@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vocab import DEFINITIONS, INTENTS, STOPWORDS  # noqa: F401
+from ..operators import corpus as C
 from ..operators import index as I
 from ..operators import search as S
 from ..sources import records as R
+from . import prepared
 
 TERMS = ["the", "and", "eau", "der", "que"]
 QUERIES, SQL = {}, {}
@@ -25,12 +27,12 @@ def query(sql: str | None = None):
     return add
 
 
-def _bm25_sql(select: str, corpus: str | None = None) -> str:
+def _bm25_sql(select: str, corpus: str | None = None, terms: list[str] = TERMS) -> str:
     """BM25 of TERMS over documents in SQL."""
     by = f"GROUP BY {corpus}" if corpus else ""
     on = f"USING ({corpus})" if corpus else "ON true"
     c = f"{corpus}, " if corpus else ""
-    terms = ", ".join(f"'{t}'" for t in TERMS)
+    terms = ", ".join(f"'{t}'" for t in terms)
     return f"""
 WITH t AS (SELECT doc_id, source AS module, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND strlen(w) < 40) AS w FROM documents),
 n AS (SELECT {c}count(*) AS n, avg(len(w)) AS avgdl FROM t {by}),
@@ -44,8 +46,28 @@ s AS (SELECT tf.{c.strip(', ') + ', ' if corpus else ''}doc_id AS dense_id, sum(
 
 @query(_bm25_sql("SELECT dense_id, round(score, 6) AS score, CAST(matched AS INTEGER) AS matched FROM s ORDER BY score DESC, dense_id LIMIT 20"))
 def bm25_search(spark, sf):
-    d = R.documents(spark, sf)
-    return I.bm25(d, X.prose_tokens("docs"), TERMS, ["dense_id"]).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "dense_id").limit(20)
+    """The 20 best of the built index; it opens the folders of the five terms only."""
+    best = prepared.documents(spark, sf).text.pool(TERMS, 20)
+    return best.select(F.col("id").alias("dense_id"), F.round("score", 6).alias("score"), "matched").orderBy(F.desc("score"), "dense_id")
+
+
+@query(_bm25_sql("SELECT dense_id, round(score, 6) AS score, CAST(matched AS INTEGER) AS matched FROM s"))
+def text_scores(spark, sf):
+    """BM25 of every document that has a term, from the postings of an index written in two segments."""
+    return prepared.documents(spark, sf).text.score(TERMS).select(F.col("id").alias("dense_id"), F.round("score", 6).alias("score"), "matched")
+
+
+@query(_bm25_sql("SELECT dense_id, round(score, 6) AS score FROM s WHERE matched = 2 ORDER BY round(score, 9) DESC, dense_id LIMIT 200", terms=["the", "and"]))
+def text_pool_strict(spark, sf):
+    """The 200 best documents that have both terms, found over block maxima."""
+    return prepared.documents(spark, sf).text.pool(["the", "and"], 200, strict=True).select(F.col("id").alias("dense_id"), F.round("score", 6).alias("score"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '' AND strlen(w) < 40)) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS df FROM w GROUP BY term""")
+def term_dictionary(spark, sf):
+    """Document frequency of every term, from the dictionary of the index."""
+    return prepared.documents(spark, sf).text.terms.read().groupBy("term").agg(F.sum("df").alias("df"))
 
 
 @query(_bm25_sql("SELECT CAST(n AS BIGINT) AS n, round(avgdl, 6) AS avgdl, (SELECT CAST(coalesce(sum(df), 0) AS BIGINT) FROM df) AS df FROM n"))
@@ -107,8 +129,7 @@ def token_index(spark, sf):
 
 @query(f"SELECT dense_id, name, CAST(1000.0 AS DOUBLE) AS score FROM {PARTS} WHERE lower(name) = 'redwidget' ORDER BY dense_id LIMIT 60")
 def lookup_exact(spark, sf):
-    p = R.parts(spark, sf)
-    return S.lookup(p, I.symbol_index(p), "Red Widget<T>").orderBy(F.desc("score"), "rank", "dense_id").select("dense_id", "name", "score")
+    return prepared.parts(spark, sf).lookup("Red Widget<T>").orderBy(F.desc("score"), "rank", "dense_id").select("dense_id", "name", "score")
 
 
 @query(f"SELECT dense_id, string_agg(term, ' ' ORDER BY i) AS tokens FROM (SELECT *, {SINGULAR} AS term FROM (SELECT *, unnest(string_split(lower({SPACED}), ' ')) AS w, generate_subscripts(string_split(lower({SPACED}), ' '), 1) AS i FROM {PARTS})) GROUP BY dense_id")
@@ -166,24 +187,55 @@ def search_filtered(spark, sf):
 
 @query(f"SELECT dense_id FROM {PARTS} WHERE lower(name) = 'redwidget' ORDER BY dense_id LIMIT 8")
 def hybrid_search(spark, sf):
-    return S.hybrid_search(R.parts(spark, sf), "RedWidget").select("dense_id")
+    return prepared.parts(spark, sf).search("RedWidget").select("dense_id")
 
 
-@query(f"""WITH p AS {PARTS}, n AS (SELECT dense_id, CASE WHEN name LIKE 'Red%' AND name LIKE '%Gear' THEN 240.0 * 11.1 ELSE 90.0 * CASE WHEN name LIKE 'Red%' THEN 4.7 ELSE 3.2 END END AS name_raw FROM p WHERE name LIKE 'Red%' OR name LIKE '%Gear')
-SELECT dense_id, round(name_raw, 6) AS name_raw FROM n""")
+@query(f"""WITH p AS {PARTS}, text AS (SELECT dense_id, 1.0 * length(signature) AS raw FROM p WHERE name LIKE '%Gear'),
+names AS (SELECT dense_id, CASE WHEN name LIKE 'Red%' AND name LIKE '%Gear' THEN 240.0 * 11.1 ELSE 90.0 * CASE WHEN name LIKE 'Red%' THEN 4.7 ELSE 3.2 END END AS raw FROM p WHERE name LIKE 'Red%' OR (name LIKE '%Gear' AND dense_id % 2 = 0)),
+m AS (SELECT dense_id, n.raw AS name, coalesce(t.raw / (SELECT max(raw) FROM text) * 850, 0) AS band FROM text t FULL JOIN names n USING (dense_id))
+SELECT dense_id, round(CASE WHEN name > 0 THEN name + 0.3 * band ELSE band END, 6) AS score FROM m""")
 def hybrid_merge(spark, sf):
-    """The name side of the merge over all records: weight x relevance, by concept or not."""
+    """Text and name evidence of all records that have either, by a full outer join: some have both, some one."""
     subj = ["red", "gear"]
     concept = (S.name_coverage(subj) > 0) & (F.col("kind").isin(*DEFINITIONS) | (S.name_coverage(subj) == len(subj)))
     raw = F.when(concept, 240.0).otherwise(90.0) * S.record_weight() * S.relevance(subj, subj)
-    return S.prepare(R.parts(spark, sf)).where(S.name_coverage(subj) > 0).select("dense_id", F.round(raw, 6).alias("name_raw"))
-
-
-@query()
+    p = R.parts(spark, sf)
+    names = S.prepare(p).where(S.name_coverage(subj) > 0).where("name LIKE 'Red%' OR dense_id % 2 = 0").select("dense_id", raw.alias("name_raw"))
+    text = p.where("name LIKE '%Gear'").select("dense_id", F.length("signature").cast("double").alias("text_raw"))
+    return C.merge(text, names).select("dense_id", F.round("score", 6).alias("score"))
+
+
+CONCEPT = "small red gears"
+CONCEPT_SQL = f"""
+WITH p AS (SELECT * FROM {PARTS}),
+words AS (SELECT dense_id, 'name' AS field, unnest([lower(name)] || list_transform(string_split(lower({SPACED}), ' '), lambda w: {SINGULAR})) AS term FROM p
+  UNION ALL SELECT dense_id, 'signature', unnest(['fn', lower(name)] || list_transform(string_split(lower({SPACED}), ' '), lambda w: {SINGULAR}) || ['size', regexp_extract(signature, '[0-9]+')]) FROM p
+  UNION ALL SELECT dense_id, 'docs', unnest(string_split(docs, ' ')) FROM p),
+n AS (SELECT field, (SELECT count(*) FROM p) AS n, count(*) / (SELECT count(*) FROM p) AS mean FROM words GROUP BY field),
+lengths AS (SELECT dense_id, field, count(*) AS length FROM words GROUP BY ALL),
+tf AS (SELECT dense_id, field, term, count(*) AS tf FROM words WHERE term IN ('small', 'red', 'gears', 'gear') GROUP BY ALL),
+df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
+one AS (SELECT dense_id, term, sum(CASE field WHEN 'name' THEN 4 WHEN 'signature' THEN 2 ELSE 1 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS w
+  FROM tf JOIN df USING (field, term) JOIN n USING (field) JOIN lengths USING (dense_id, field) GROUP BY ALL),
+bm AS (SELECT dense_id, sum(w) AS bm25, count(*) AS terms FROM one GROUP BY dense_id),
+hits AS (SELECT dense_id, bm25 FROM (SELECT * FROM bm ORDER BY round(bm25, 9) DESC, dense_id LIMIT 2000)
+  UNION SELECT dense_id, bm25 FROM (SELECT * FROM bm WHERE terms = 4 ORDER BY round(bm25, 9) DESC, dense_id LIMIT 2000)),
+postings AS (SELECT DISTINCT dense_id FROM (SELECT dense_id, row_number() OVER (PARTITION BY term ORDER BY dense_id) AS r FROM (SELECT DISTINCT dense_id, term FROM words WHERE field = 'name' AND term IN ('small', 'red', 'gear'))) WHERE r <= 1000),
+seen AS (SELECT dense_id, owner, name, CAST(name LIKE 'Small%' AS INTEGER) AS small, CAST(name LIKE 'Red%' AS INTEGER) AS red, CAST(name LIKE '%Gear' AS INTEGER) AS gear,
+  1 + 0.12 * (CAST(contains(lower(docs || chr(10) || signature), 'small') AS INTEGER) + CAST(contains(lower(docs || chr(10) || signature), 'red') AS INTEGER) + CAST(contains(lower(docs || chr(10) || signature), 'gear') AS INTEGER)) AS covered FROM p),
+boosted AS (SELECT *, 1 + 3.7 * small + 2.2 * red + 2.2 * gear + CASE WHEN small + red + gear > 1 THEN (small + red + gear - 1) * 1.2 ELSE 0 END AS boost FROM seen),
+text AS (SELECT dense_id, bm25 * boost * covered AS raw FROM hits JOIN boosted USING (dense_id)),
+names AS (SELECT dense_id, 90 * boost AS raw FROM postings JOIN boosted USING (dense_id) WHERE small + red + gear > 0),
+merged AS (SELECT dense_id, names.raw AS name, coalesce(text.raw / (SELECT max(raw) FROM text) * 850, 0) AS band FROM text FULL JOIN names USING (dense_id)),
+scored AS (SELECT dense_id, round(CASE WHEN name > 0 THEN name + 0.3 * band ELSE band END, 6) AS score FROM merged),
+best AS (SELECT *, row_number() OVER (PARTITION BY p.owner, p.name ORDER BY score DESC, dense_id) AS r FROM scored JOIN p USING (dense_id))
+SELECT dense_id, score FROM best WHERE r = 1 ORDER BY score DESC, dense_id LIMIT 20"""
+
+
+@query(CONCEPT_SQL)
 def concept_search(spark, sf):
     """Concept query with text, names, filters and collapse of equal definitions."""
-    p = R.parts(spark, sf)
-    return S.hybrid_search(p, "small red gears", S.passes(source="rustdoc"), 20, key=["owner", "name"]).select("dense_id", F.round("score", 6).alias("score"))
+    return prepared.parts(spark, sf).search(CONCEPT, S.passes(source="rustdoc"), 20, key=["owner", "name"]).select("dense_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT doc_id AS dense_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -213,7 +265,7 @@ def common_prefix(spark, sf):
   FROM {PARTS} WHERE name LIKE 'Red%' OR name LIKE '%Widget')
 SELECT dense_id, CAST(score AS INTEGER) AS score FROM s WHERE score > 0 AND score >= (SELECT max(score) FROM s) - 60 ORDER BY score DESC, dense_id LIMIT 5""")
 def suggest(spark, sf):
-    return S.suggestions(R.parts(spark, sf), "RedWidgets").select("dense_id", F.col("score").cast("int").alias("score"))
+    return C.suggestions(prepared.parts(spark, sf), "RedWidgets").select("dense_id", F.col("score").cast("int").alias("score"))
 
 
 @query(f"SELECT dense_id, 2 AS score FROM {PARTS} WHERE replace(signature, ' ', '') = 'fnRedWidget(size:7)'")

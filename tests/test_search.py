@@ -5,6 +5,7 @@ from quillspark.operators import features as G
 from quillspark.operators import index as I
 from quillspark.operators import listing as L
 from quillspark.operators import search as S
+from quillspark.operators.corpus import Corpus
 
 SCHEMA = "dense_id long, source string, kind string, name string, owner string, full_path string, module string, docs string, signature string, source_ref string, hash string"
 
@@ -21,20 +22,26 @@ def records(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    c = Corpus(spark, str(tmp_path_factory.mktemp("corpus")), records(spark), buckets=4)
+    c.add(records(spark), "all")
+    return c
+
+
 @pytest.mark.parametrize("query,first", [("ECS event system", 0), ("system ordering", 1), ("commands spawn", 2), ("Commands::spawn", 3)])
-def test_ranking(spark, query, first):
-    got = S.hybrid_search(records(spark), query).collect()
+def test_ranking(corpus, query, first):
+    got = corpus.search(query).collect()
     assert got[0].dense_id == first
     assert 5 not in [g.dense_id for g in got]
 
 
-def test_lookup_and_indexes(spark):
+def test_lookup_and_indexes(spark, corpus):
     r = I.drop_tuple_fields(records(spark))
     assert r.count() == 5
-    symbols = I.symbol_index(r)
-    assert [x.dense_id for x in S.lookup(r, symbols, "core::system::Commands<T>").collect()] == [2]
-    assert S.lookup(r, symbols, "core::system::Commands").first().score == 1100.0
-    assert S.lookup(r, symbols, "commands").first().score == 1000.0
+    assert [x.dense_id for x in corpus.lookup("core::system::Commands<T>").collect()] == [2]
+    assert corpus.lookup("core::system::Commands").first().score == 1100.0
+    assert corpus.lookup("commands").first().score == 1000.0
     assert not I.token_index(r).where("dense_id = 4").count()
 
 
