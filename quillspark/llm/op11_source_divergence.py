@@ -40,7 +40,7 @@ MIN_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 #: Radix select: 60 value bits in steps of 15, then bytes of the term in steps of 2; ties that one window may sort.
 BITS, VALUE_BITS, BYTES, TIES = 15, 60, 2, 5_000
 #: (source, term) entries of a block, entries of a task's table while counting, pairs expanded at a time, and pairs of a block's table.
-BLOCK, ENTRIES, CHUNK, TABLE = 1_000_000, 200_000, 1_000_000, 2_000_000
+BLOCK, ENTRIES, CHUNK, TABLE = 1_000_000, 600_000, 1_000_000, 2_000_000
 
 _KEEP = bytes((b | 32 if 65 <= b <= 90 else b) if b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -50,27 +50,32 @@ _PAIRS = pa.schema([("lang", pa.string()), ("a", pa.int64()), ("b", pa.int64()),
 def _tally(batches):
     """Counts and documents of each (lang, source, term) of a task, given out whenever the table is full. A group's
     mark is the empty term, which no text has."""
-    n: Counter = Counter()
-    docs: Counter = Counter()
+    n: dict[tuple[str, str], Counter] = {}
+    docs: dict[tuple[str, str], Counter] = {}
+    entries = 0
 
     def out():
-        keys = list(docs)
-        columns = [[k[0] for k in keys], [k[1] for k in keys], [k[2].decode() for k in keys], [n[k] for k in keys], [docs[k] for k in keys]]
+        for (lang, source), count in docs.items():
+            terms = list(count)
+            same = pa.array(np.zeros(len(terms), np.int64))
+            columns = [pa.array([lang]).take(same), pa.array([source]).take(same), pa.array(terms, pa.binary()).cast(pa.string()), [n[lang, source][t] for t in terms], list(count.values())]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
         n.clear()
         docs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
 
     for lang, source, text in W.rows(batches, "lang", "source", "text"):
-        lang, source = lang or "", source or ""
-        docs[lang, source, b""] += 1
-        for term, k in Counter((text or "").encode().translate(_KEEP).split()).items():
-            key = lang, source, term
-            n[key] += k
-            docs[key] += 1
-        if len(docs) >= ENTRIES:
-            yield out()
-    if docs:
-        yield out()
+        group = lang or "", source or ""
+        if group not in docs:
+            n[group], docs[group] = Counter(), Counter()
+        terms, count = (text or "").encode().translate(_KEEP).split(), docs[group]
+        before = len(count)
+        n[group].update(terms)
+        count.update({b"", *terms})
+        entries += len(count) - before
+        if entries >= ENTRIES:
+            yield from out()
+            entries = 0
+    yield from out()
 
 
 def _share(count: str, total: str) -> Column:
