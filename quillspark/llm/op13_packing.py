@@ -22,8 +22,13 @@ columns are ignored. A lost task is done again with the same result: order and n
 
 from __future__ import annotations
 
+import os
+import unicodedata
+from array import array
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +37,15 @@ from . import words as W
 from .store import Tables, arrow_rows, partitions
 
 WINDOW, END = 4096, 2
-#: Tokens of a shard, query terms of a seed, new words that go to the tokenizer at a time, words kept by a worker.
-SHARD, TERMS, KNOWN = 1 << 21, 12, 1_500_000
+#: Tokens of a shard, query terms of a seed, words of a generation that a worker keeps.
+SHARD, TERMS, KNOWN = 1 << 20, 12, 300_000
 #: Bytes of token ids that a task of the range partitioning should get.
 TASK_BYTES = 64 << 20
 K1, B = 1.2, 0.75
 _END_MARKS = b",.;:!?"
+# The characters that stand for bytes in byte-level vocabularies; printable ones for themselves, others from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_STANDS = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + k) for k, b in enumerate(x for x in range(256) if x not in set(_PRINTABLE))}
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64())])
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -49,66 +57,87 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _small(word: str) -> bool:
+    """Letters only, none of which lower-casing or normal form would change."""
+    return word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word)) and word == word.lower()
+
+
+def _bytes(word: str) -> str:
+    """A word's bytes as the characters that stand for them."""
+    return word.encode().decode("latin-1").translate(_STANDS)
+
+
 class TokenIds:
-    """Token ids of texts by the words between blanks, for a tokenizer that never joins words over blanks."""
+    """Token ids of texts by the words between blanks, for a tokenizer that never joins words over blanks. Words met lately
+    are kept in two generations of at most ``KNOWN`` words each, so that common ones stay; this changes no result."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._clear()
-
-    def _clear(self):
-        self.at: dict[bytes, int] = {b"": 0}
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.pool, self.used = np.empty(1 << 18, self.dtype), 0
-
-    def _add(self, word: bytes, ids) -> None:
-        n, k = len(ids), len(self.at)
-        if k >= len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        while self.used + n > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        self.pool[self.used : self.used + n] = ids
-        self.at[word], self.start[k], self.size[k] = k, self.used, n
-        self.used += n
-
-    def _ids(self, word: bytes) -> np.ndarray:
-        k = self.at[word]
-        return self.pool[self.start[k] : self.start[k] + self.size[k]]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encodes words not met yet. Marks at the end of a word in letters are tokens of their own."""
-        if len(self.at) + 2 * len(words) > KNOWN:
-            self._clear()
-        split = {}
-        for w in words:
-            stem = w.rstrip(_END_MARKS)
-            if len(stem) < len(w) and stem and stem[-1] in _ALNUM:
-                split[w] = stem, w[len(stem) :]
-        new = [w for w in (words - split.keys()).union(*split.values()) if w not in self.at]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self._add(w, e.ids)
-        for w, (stem, marks) in split.items():
-            self._add(w, np.concatenate([self._ids(stem), self._ids(marks)]))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        raw = [t.encode() for t in texts]
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]  # arrays of the machine's order, little-endian wherever Spark runs
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        # whether words of small letters come through normalizer and splitter as one run of their bytes, so that the model
+        # alone makes their ids; asked of all small letters up to U+017F that are themselves in normal form
+        probe = "".join(c for c in map(chr, range(0x180)) if _small(c))
+        n, s = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.plain = n is not None and s is not None and n.normalize_str(probe) == probe and s.pre_tokenize_str(probe) == [(_bytes(probe), (0, len(probe)))]
+
+    def _encode(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of words that are not known yet."""
+        text = [w.decode() for w in words]
+        whole = [w for w in text if not (self.plain and _small(w))]
+        got = dict(zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True))
+        tokenize = self.tokenizer.model.tokenize
+        return [got[w].ids if w in got else [t.id for t in tokenize(w if w.isascii() else _bytes(w))] for w in text]
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        if len(self.new) > KNOWN:
+            self.new, self.old = {}, self.new
+        found = list(map(self.new.get, words))
+        for k in [k for k, v in enumerate(found) if v is None]:
+            if (v := self.old.get(words[k])) is not None:
+                found[k] = self.new[words[k]] = v
+        missing = [k for k, v in enumerate(found) if v is None]
+        if missing:
+            # marks at the end of a word in letters or digits are tokens of their own
+            stems, marks = [], []
+            for k in missing:
+                w = words[k]
+                stem = w.rstrip(_END_MARKS)
+                cut = len(stem) if stem and stem[-1] in _ALNUM else len(w)
+                stems.append(w[:cut])
+                marks.append(w[cut:])
+            ask = [w for w in {*stems, *marks} if w and w not in self.new]
+            ids = dict(zip(ask, (array(self.code, i).tobytes() for i in self._encode(ask)), strict=True))
+            self.new |= ids
+            self.new[b""] = b""
+            for k, stem, mark in zip(missing, stems, marks, strict=True):
+                found[k] = self.new[stem] + self.new[mark]
+                if mark:
+                    self.new[words[k]] = found[k]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of an array of strings without nulls, one after the other, and where each text begins and ends."""
         # small letters are what the tokenizer makes of A-Z; a text with a special token's opening is left as it is
-        split = [(t if b"<|" in t else t.lower()).split() for t in raw]
-        words = set().union(*split)
-        if new := words.difference(self.at):
-            self.learn(new)
-            if missing := words.difference(self.at):  # the table was emptied in between
-                self.learn(missing)
-        out = []
-        for w in split:
-            k = np.fromiter(map(self.at.__getitem__, w), np.int64, len(w))
-            n = self.size[k]
-            ends = np.cumsum(n)
-            out.append(self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[k] - (ends - n), n)])
-        return out
+        small = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(small)
+        words = split.flatten().dictionary_encode()
+        values = self._ids(words.dictionary.cast(pa.binary()).to_pylist())
+        pool = np.frombuffer(b"".join(values), self.dtype)
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        at = words.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], n)]
+        offsets = split.offsets.to_numpy()
+        return ids, ends[offsets - offsets[0]]
 
 
 _encoders: dict[str, TokenIds] = {}
@@ -119,15 +148,15 @@ def _tokenise(path: str):
         if path not in _encoders:
             _encoders[path] = TokenIds(path)
         enc = _encoders[path]
-        width = enc.tokenizer.get_vocab_size()
+        width, end = enc.tokenizer.get_vocab_size(), np.array(END, enc.dtype).tobytes()
         hashes = [W.mix((np.arange(width, dtype=np.uint64) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1) for k in (1, 1 << 32)]
         for b in batches:
-            for at in range(0, b.num_rows, 32):
-                part = b.slice(at, 32)
-                docs, texts = zip(*W.rows([part], "doc_id", "text"), strict=True)
-                ids = [np.append(x, x.dtype.type(END)) for x in enc.encode([t or "" for t in texts])]
-                columns = [docs, [len(x) for x in ids], [x.tobytes() for x in ids], *([int(h[x].min()) for x in ids] for h in hashes)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TOKENS, strict=True)], schema=_TOKENS)
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                ids, bounds = enc.encode(pc.fill_null(part.column(1), ""))
+                rows = [ids[low:high] for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                columns = [part.column(0), np.diff(bounds) + 1, [x.tobytes() + end for x in rows], *([int(min(h[x].min(initial=h[END]), h[END])) for x in rows] for h in hashes)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _TOKENS, strict=True)], schema=_TOKENS)
 
     return run
 
@@ -137,11 +166,14 @@ def _frequencies(dtype: np.dtype):
 
     def run(batches):
         df = np.zeros(1 << 16, np.int64)
+        place = np.zeros(len(df), np.int64)
         for (raw,) in W.rows(batches, "ids"):
-            ids = np.unique(np.frombuffer(raw, dtype))
-            if len(ids) and ids[-1] >= len(df):
-                df = np.concatenate([df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)])
-            df[ids] += 1
+            ids = np.frombuffer(raw, dtype)
+            if (top := int(ids.max()) + 1) > len(df):
+                df, place = (np.concatenate([x, np.zeros(top - len(x), np.int64)]) for x in (df, place))
+            order = np.arange(len(ids))
+            place[ids] = order  # the last place of each id
+            df[ids[place[ids] == order]] += 1
         at = np.flatnonzero(df)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], schema=schema)
@@ -222,6 +254,7 @@ def fill(docs: list[np.ndarray], shard: Shard, window: int = WINDOW, last: bool
 
 def _pack(dtype: np.dtype, idf: np.ndarray, mean: float, window: int, size: int):
     def run(batches):
+        _encoders.clear()  # a worker that has tokenised before needs its words no more
         sequence = TaskContext.get().partitionId() << 40
         held, tokens = [], 0  # rows (doc_id, doc_tokens, ids, ids before them)
 

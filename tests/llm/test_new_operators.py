@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import op11_source_divergence as q11
@@ -187,14 +188,18 @@ def check_pieces(rows, texts, window=4096):
     return sequences
 
 
-def test_words_have_the_ids_of_whole_texts(whole):
+@pytest.mark.parametrize("known", [20, 100_000])
+def test_words_have_the_ids_of_whole_texts(whole, monkeypatch, known):
+    monkeypatch.setattr(q13, "KNOWN", known)
     rnd = random.Random(9)
-    pieces = ["the", "The", "It's", "THEY'RE", "x,", "end.", ").", "12.5", "é", "É", "́x", "ÀÉ!", "İs", "ΑΣ", "ΑΣ.", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>b", " ", " x", "中文。", "😀,", "'s", "'", "x's.", "#*$", "ﬁn", "K̊", "a‍b", "\x1c", "\x85", "1st,", "9.", "…"]
+    pieces = ["straße", "naïve", "ŉ", "ǆ", "ǅ", "ﬁ", "İ", "ß", "ſ", "中文", "йод", "й", "ªº", "the", "The", "It's", "THEY'RE", "x,", "end.", ").", "12.5", "é", "É", "́x", "ÀÉ!", "İs", "ΑΣ", "ΑΣ.", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>b", " ", " x", "中文。", "😀,", "'s", "'", "x's.", "#*$", "ﬁn", "K̊", "a‍b", "\x1c", "\x85", "1st,", "9.", "…"]
     texts = ["".join(rnd.choice(pieces) + rnd.choice([" ", "\n", "", "  ", "\t", "\x0b"]) for _ in range(rnd.randrange(40))) for _ in range(1500)]
     enc = q13.TokenIds(q13.vocabulary_path())
     for at in range(0, len(texts), 50):
-        for text, ids in zip(texts[at : at + 50], enc.encode(texts[at : at + 50]), strict=True):
-            assert ids.tolist() == whole(text)[:-1], repr(text)
+        ids, bounds = enc.encode(pa.array(texts[at : at + 50]))
+        for text, low, high in zip(texts[at : at + 50], bounds[:-1], bounds[1:], strict=True):
+            assert ids[low:high].tolist() == whole(text)[:-1], repr(text)
+    assert enc.plain
 
 
 def test_packing_whole_table(spark, whole):
