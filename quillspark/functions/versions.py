@@ -16,6 +16,12 @@ def core(version: Column | str) -> Column:
     return F.struct(part(0).alias("major"), part(1).alias("minor"), part(2).alias("patch"))
 
 
+def place(version_core: Column) -> Column:
+    """A long that never falls as versions rise; equal for versions that differ in parts beyond a million only."""
+    part = lambda name, top: F.least(F.greatest(version_core[name], F.lit(0)), F.lit(top)).cast("long")
+    return part("major", 9_000_000) * 1_000_000_000_000 + part("minor", 999_999) * 1_000_000 + part("patch", 999_999)
+
+
 def same_minor(a: Column | str, b: Column | str) -> Column:
     x, y = core(a), core(b)
     return (x["major"] == y["major"]) & (x["minor"] == y["minor"])

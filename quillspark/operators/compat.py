@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import versions as V
+from .intervals import asof_join, interval_join
 
 
 def kleene_or(verdict: Column) -> Column:
@@ -13,41 +14,51 @@ def kleene_or(verdict: Column) -> Column:
     return F.when(F.bool_or(verdict), True).when(F.bool_or(verdict.isNull()), F.lit(None).cast("boolean")).otherwise(False)
 
 
-def range_join(versions: DataFrame, compat: DataFrame) -> DataFrame:
-    """Each requirement with each version, and whether it is satisfied (null: unknown).
-
-    Versions are a project's release list, joined by range: requirements are expanded to (lo, hi) once and the
-    release list, tiny by nature, is the side that is sent round.
-    """
-    c = compat.withColumn("_r", V.requirement("requires"))
-    v = versions.select("version", V.core("version").alias("_v"))
-    ok = F.when(F.col("_r").isNotNull(), (F.col("_v") >= F.col("_r.lo")) & (F.col("_r.hi").isNull() | (F.col("_v") < F.col("_r.hi"))))
-    return c.crossJoin(v).withColumn("ok", ok).drop("_r", "_v")
-
-
-def matrix(versions: DataFrame, compat: DataFrame) -> DataFrame:
-    """plugin, version, compatible: over a plugin's releases; its newest release and the newest that fits."""
-    j = range_join(versions, compat)
-    newest = lambda cond: F.max_by(F.when(cond, F.col("plugin_version")), F.when(cond, F.struct(V.core("plugin_version"), "ord")))
-    fits = F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("ord", "plugin_version"))))
+def range_join(versions: DataFrame, requirements: DataFrame) -> DataFrame:
+    """version, requires of every pair of distinct values in which the version lies in the requirement's range, by an
+    interval join. A requirement that isn't understood pairs with none; ``requirement`` tells which those are."""
+    v = versions.select("version").where("version IS NOT NULL").distinct().withColumn("_v", V.core("version"))
+    r = requirements.select("requires").distinct().withColumn("_r", V.requirement("requires"))
+    r = r.where("_r IS NOT NULL").select("requires", F.col("_r.lo").alias("_lo"), F.col("_r.hi").alias("_hi"))
+    return interval_join(v, "_v", r, "_lo", "_hi", V.place).select("version", "requires")
+
+
+def matrix(asked: DataFrame, compat: DataFrame) -> DataFrame:
+    """plugin, version, compatible (null: unknown), newest, newest_matching, matching, for each distinct question (plugin,
+    version): over the plugin's releases (``compat``: plugin, plugin_version, requires, ord) by an equi-join on the plugin. A
+    plugin without releases gives no row; without a version every verdict is unknown and nothing matches."""
+    q = asked.select("plugin", "version").distinct().withColumn("_v", F.when(F.col("version").isNotNull(), V.core("version")))
+    c = compat.withColumn("_r", V.requirement("requires")).withColumn("_at", V.core("plugin_version"))  # once a release
+    inside = (F.col("_v") >= F.col("_r.lo")) & (F.col("_r.hi").isNull() | (F.col("_v") < F.col("_r.hi")))
+    j = q.join(c, "plugin").withColumn("ok", F.when(F.col("_r").isNotNull() & F.col("_v").isNotNull(), inside))
+    newest = lambda cond: F.max_by(F.when(cond, F.col("plugin_version")), F.when(cond, F.struct("_at", "ord")))
+    fits = F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("ord", "plugin_version"))))  # a plugin's releases
     out = j.groupBy("plugin", "version").agg(kleene_or(F.col("ok")).alias("compatible"), newest(F.lit(True)).alias("newest"), newest(F.col("ok")).alias("newest_matching"), fits.alias("_f"))
     return out.withColumn("matching", F.array_join(F.transform("_f", lambda x: x["plugin_version"]), ",")).drop("_f")
 
 
-def fallback(installed: DataFrame, wanted: str) -> DataFrame:
-    """The exact version, else the newest of the same minor line."""
-    same = installed.where(V.same_minor("version", F.lit(wanted)))
-    return same.agg(F.max_by("version", F.struct(F.col("version") == wanted, V.core("version"))).alias("version")).where("version IS NOT NULL")
+def fallback(requests: DataFrame, installed: DataFrame) -> DataFrame:
+    """Each request (column ``wanted``) with ``version``: the installed version of that name, else the newest of its minor
+    line, by a join on the last installed version before the line's end; null where the line has none."""
+    have = installed.select("version").where("version IS NOT NULL").distinct()
+    line = lambda core: [core["major"].alias("_major"), core["minor"].alias("_minor")]
+    r = have.select(*line(V.core("version")), V.core("version")["patch"].alias("_patch"), F.col("version").alias("_newest"))
+    q = requests.withColumn("_c", V.core("wanted")).select("*", *line(F.col("_c")), F.when(F.col("wanted").isNotNull(), F.lit(2**63 - 1)).alias("_patch")).drop("_c")
+    near = asof_join(q, r, ["_major", "_minor"], "_patch", ["_newest"])
+    exact = have.select(F.col("version").alias("_exact"))
+    out = near.join(exact, F.col("wanted") == F.col("_exact"), "left")
+    return out.withColumn("version", F.coalesce("_exact", "_newest")).drop("_major", "_minor", "_patch", "_newest", "_exact")
 
 
-def api_diff(versions: DataFrame, items: DataFrame) -> DataFrame:
-    """Each version's signature of a symbol against that of the newest version: same, changed, only here, or -."""
-    best = items.groupBy("version").agg(F.min_by(F.struct("kind", "signature", F.length("docs").alias("docs_chars")), "ord").alias("b"))
-    j = versions.join(best, "version", "left").withColumn("_v", V.core("version"))
-    w = Window.orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row a version
-    base = F.first("b.signature").over(w)
-    verdict = F.when(F.col("b").isNull(), "-").when(base.isNull(), "only here").when(F.col("b.signature") == base, "same").otherwise("changed")
-    return j.select("version", F.col("b").isNotNull().alias("found"), "b.kind", "b.signature", "b.docs_chars", verdict.alias("vs_newest"))
+def api_diff(asked: DataFrame, items: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """For each symbol and each of the versions asked for (``asked``: symbol, version): its best item's signature against
+    that of the newest of those versions: same, changed, only here (the newest has none), or - (this one has none)."""
+    best = items.groupBy(symbol, "version").agg(F.min_by(F.struct("kind", "signature", F.length("docs").alias("docs_chars")), "ord").alias("b"))
+    j = asked.select(symbol, "version").distinct().join(best, [symbol, "version"], "left").withColumn("_v", V.core("version"))
+    w = Window.partitionBy(symbol).orderBy(F.desc("_v"), F.desc("version")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row a version
+    j = j.withColumn("_base", F.first(F.struct("b.signature")).over(w)["signature"])
+    verdict = F.when(F.col("b").isNull(), "-").when(F.col("_base").isNull(), "only here").when(F.col("b.signature") == F.col("_base"), "same").otherwise("changed")
+    return j.select(symbol, "version", F.col("b").isNotNull().alias("found"), "b.kind", "b.signature", "b.docs_chars", verdict.alias("vs_newest"))
 
 
 def newest_release(index: DataFrame) -> DataFrame:
@@ -94,14 +105,20 @@ def topic_score(terms: list[str]) -> Column:
     return (F.when(head.contains(full), 40).when(n == len(terms), 30).otherwise(8 * n) + text).cast("int")
 
 
+def in_range(old: str, new: str) -> Column:
+    """Whether a step's versions lie between two: old <= from < to <= new."""
+    f, t = V.core("from_version"), V.core("to_version")
+    known = F.col("from_version").isNotNull() & F.col("to_version").isNotNull()
+    return known & (V.core(F.lit(old)) <= f) & (f < t) & (t <= V.core(F.lit(new)))
+
+
 def migration_base(old: str | None, new: str | None) -> Column:
     """Base score of guides, entries and notes for a step between minor lines; null: doesn't apply."""
     minor = lambda c: F.substring_index(c, ".", 2)
     is_from = minor(F.col("from_version")) == minor(F.lit(old)) if old else F.lit(False)
     is_to = minor(F.col("to_version")) == minor(F.lit(new)) if new else F.lit(False)
     here = minor(F.col("version")) == minor(F.lit(new)) if new else F.lit(False)
-    f, t = V.core("from_version"), V.core("to_version")
-    inside = (V.core(F.lit(old)) <= f) & (f < t) & (t <= V.core(F.lit(new))) if old and new else F.lit(False)
+    inside = in_range(old, new) if old and new else F.lit(False)
     guide = F.when(is_from & is_to, 100).when(is_to, 90).when(inside, 80).when(is_from, 70)
     return F.when(F.col("kind") == "migration_guide", guide).when((F.col("kind") == "migration_entry") & here, 50).when((F.col("kind") == "release_notes") & here, 45)
 

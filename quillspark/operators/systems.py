@@ -177,6 +177,19 @@ def conflicts(rows: DataFrame) -> DataFrame:
     return every.withColumn("code", F.when(F.col("rule").isin("R1", "R2"), "B0001").otherwise("B0002"))
 
 
+def generic_argument(text: Column, name: str) -> Column:
+    """What stands between the angle brackets after a name, nested to any depth; null where they are empty or don't close."""
+    opened = F.regexp_extract(text, rf"(?s)(?<![A-Za-z0-9_]){name}<(.*)$", 1)
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("depth"))
+
+    def step(a: Column, ch: Column) -> Column:
+        depth = a["depth"] + F.when(ch == "<", 1).when(ch == ">", -1).otherwise(0)
+        return F.when(a["depth"] == 0, a).otherwise(F.struct(F.when(depth == 0, a["out"]).otherwise(F.concat(a["out"], ch)).alias("out"), depth.alias("depth")))
+
+    read = F.aggregate(F.split(opened, ""), start, step)
+    return F.when(opened != "", F.when(read["depth"] == 0, F.nullif(read["out"], F.lit(""))))
+
+
 def parse_error(message: Column | str) -> Column:
     """struct<code, severity, resource_type, access> of a pasted message."""
     m = F.col(message) if isinstance(message, str) else message
@@ -185,13 +198,20 @@ def parse_error(message: Column | str) -> Column:
     code = F.when(m.rlike(boxed), F.regexp_extract(m, boxed, 2)).when(m.rlike(alone), F.regexp_extract(m, alone, 1))
     before = F.lower(F.right(F.regexp_extract(m, r"^(.*?)" + alone, 1), F.lit(32)))
     severity = F.when(m.rlike(boxed), F.when(F.regexp_extract(m, boxed, 1) == "error", "panic").otherwise("warning")).when(before.contains("warning"), "warning").when(before.contains("error") | before.contains("panic"), "panic").otherwise("unknown")
-    inner = r"(?<![A-Za-z0-9_])%s<((?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*)>"
-    mut, shared = F.nullif(F.regexp_extract(m, inner % "ResMut", 1), F.lit("")), F.nullif(F.regexp_extract(m, inner % "Res", 1), F.lit(""))
+    mut, shared = generic_argument(m, "ResMut"), generic_argument(m, "Res")
     access = F.array_compact(F.array(F.when(mut.isNotNull(), "ResMut").when(shared.isNotNull(), "Res"), F.when(m.contains("&mut"), "&mut").when(m.contains("&"), "&")))
     known = code.isNotNull()
     return F.struct(code.alias("code"), F.when(known, severity).alias("severity"), F.when(known, F.coalesce(mut, shared)).alias("resource_type"), F.when(known, F.array_join(access, ",")).alias("access"))
 
 
+def short_guide(text: Column | str) -> Column:
+    """What a guide says of fixing: the body of its first second-level section about a fix or a solution, else its first 2000 characters."""
+    t = F.col(text) if isinstance(text, str) else text
+    section = r"(?ims)^##[^#\n][^\n]*(?:fix|solution)[^\n]*\n(.*?)(?=^## |\z)"
+    body = F.regexp_replace(F.regexp_extract(t, section, 1), r"^\s+|\s+$", "")
+    return F.when(body != "", body).otherwise(F.left(t, F.lit(2000)))
+
+
 def anti_patterns(code: Column | str) -> Column:
     c = F.col(code) if isinstance(code, str) else code
     return F.array_compact(F.array(F.when(c.contains("is_changed"), "is_changed()"), F.when(c.contains("is_added"), "is_added()")))

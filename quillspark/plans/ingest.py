@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import ordinal as O
 from ..operators import systems as Y
 from ..sources import html as H
 from ..sources import markdown as M
 from ..sources import records as R
 from ..session import shared_dir
-from .releases import frame, values
 
 QUERIES, SQL = {}, {}
 
@@ -51,12 +51,29 @@ def block_text(spark, sf):
     return R.table(spark, sf, "documents").select("doc_id", X.block_text("text").alias("text"))
 
 
-PATHS = [("content/learn/migration-guides/0.19-to-0.20.md", "migration_guide"), ("content/learn/migration-guides/_index.md", "migration_guide"), ("release-content/0.20/migration-guides/123_reader_renamed.md", "migration_entry"), ("release-content/0.20/release-notes/new_things.md", "release_notes"), ("content/learn/book/intro.md", "book"), ("content/learn/quick-start/a.md", "tutorial"), ("content/learn/x.md", "guide"), ("content/faq.md", "faq"), ("content/news/a.md", "news"), ("content/foundation/a.md", "foundation"), ("content/donate.md", "donate"), ("README.md", "doc")]
+# Paths made from documents: a shape by the id, numbers and a slug from it.
+CLASSIFY_SQL = """(SELECT doc_id, 'slug_' || source || '_' || doc_id AS slug, '0.' || doc_id % 21 AS v, '0.' || doc_id % 21 + 1 AS w, doc_id % 16 AS shape, CASE doc_id % 16
+  WHEN 0 THEN 'content/learn/migration-guides/' || '0.' || doc_id % 21 || '-to-0.' || (doc_id % 21 + 1) || '.md' WHEN 1 THEN 'content/learn/migration-guides/_index' || doc_id || '.md'
+  WHEN 2 THEN 'release-content/0.' || doc_id % 21 || '/migration-guides/' || doc_id || '_slug_' || source || '_' || doc_id || '.md' WHEN 3 THEN 'release-content/0.' || doc_id % 21 || '/migration-guides/slug_' || source || '_' || doc_id || '.md'
+  WHEN 4 THEN 'release-content/0.' || doc_id % 21 || '/release-notes/' || doc_id || '_slug_' || source || '_' || doc_id || '.md' WHEN 5 THEN 'content/learn/book/' || source || '.md' WHEN 6 THEN 'content/learn/quick-start/' || source || '/a.md'
+  WHEN 7 THEN 'content/learn/advanced-examples/' || source || '.md' WHEN 8 THEN 'content/learn/' || source || '.md' WHEN 9 THEN 'content/faq/' || source || '.md' WHEN 10 THEN 'content/news/' || source || '.md' WHEN 11 THEN 'content/foundation/' || source || '.md'
+  WHEN 12 THEN 'content/donate.md' WHEN 13 THEN 'content/sponsorship-pledge/' || source || '.md' WHEN 14 THEN 'release-content/0.' || doc_id % 21 || '/other/' || source || '.md' ELSE source || '/README.md' END AS path FROM documents)"""
 
 
-@query(f"SELECT path, kind FROM {values(PATHS)} t(path, kind)")
+@query(f"""SELECT doc_id, path, ['migration_guide', 'migration_guide', 'migration_entry', 'migration_entry', 'release_notes', 'book', 'tutorial', 'tutorial', 'guide', 'faq', 'news', 'foundation', 'donate', 'sponsorship', 'doc', 'doc'][shape + 1] AS kind,
+  CASE shape WHEN 0 THEN 'Migration guide 0.' || doc_id % 21 || ' -> 0.' || (doc_id % 21 + 1) WHEN 1 THEN 'Migration guides (index)' WHEN 2 THEN replace(slug, '_', ' ') WHEN 3 THEN replace(slug, '_', ' ') WHEN 4 THEN replace(slug, '_', ' ') WHEN 9 THEN 'FAQ' END AS title,
+  CASE WHEN shape IN (2, 3, 4) THEN '0.' || doc_id % 21 END AS version, CASE WHEN shape = 0 THEN '0.' || doc_id % 21 END AS from_version, CASE WHEN shape = 0 THEN '0.' || (doc_id % 21 + 1) END AS to_version, CASE WHEN shape = 2 THEN doc_id END AS pr FROM {CLASSIFY_SQL}""")
 def classify_path(spark, sf):
-    return frame(spark, [(p,) for p, _ in PATHS], "path string").select("path", M.classify("path")["kind"].alias("kind"))
+    shapes = [
+        "content/learn/migration-guides/0.{v}-to-0.{w}.md", "content/learn/migration-guides/_index{id}.md", "release-content/0.{v}/migration-guides/{id}_slug_{s}_{id}.md", "release-content/0.{v}/migration-guides/slug_{s}_{id}.md",
+        "release-content/0.{v}/release-notes/{id}_slug_{s}_{id}.md", "content/learn/book/{s}.md", "content/learn/quick-start/{s}/a.md", "content/learn/advanced-examples/{s}.md", "content/learn/{s}.md", "content/faq/{s}.md", "content/news/{s}.md",
+        "content/foundation/{s}.md", "content/donate.md", "content/sponsorship-pledge/{s}.md", "release-content/0.{v}/other/{s}.md", "{s}/README.md",
+    ]
+    key = F.col("doc_id")
+    path = F.element_at(F.array(*map(F.lit, shapes)), (key % 16 + 1).cast("int"))
+    for name, value in (("{v}", key % 21), ("{w}", key % 21 + 1), ("{id}", key), ("{s}", F.col("source"))):
+        path = F.replace(path, F.lit(name), value.cast("string"))
+    return R.table(spark, sf, "documents").select("doc_id", path.alias("path")).withColumn("c", M.classify("path")).select("doc_id", "path", "c.kind", "c.title", "c.version", "c.from_version", "c.to_version", "c.pr")
 
 
 # Paths made from parts: a folder and a file name by the key, some in capitals.
@@ -75,9 +92,6 @@ def categorise(spark, sf):
     return R.table(spark, sf, "part").select(key.alias("key"), F.array_join(M.categorise(path), ",").alias("tags"))
 
 
-PAGE = "Intro text that stands before any heading of the page.\n# Intro\nThe first part has some forty bytes of text at least.\n```\n# not a heading\n```\n## Details #\nMore text in the second part, long enough to be kept.\n# Short\nno"
-
-
 @query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos, doc_id FROM documents),
 f AS (SELECT *, CASE WHEN trim(line) LIKE '```%' OR trim(line) LIKE '~~~%' OR pos % 7 = 0 THEN 1 ELSE 0 END AS fence FROM l)
 SELECT doc_id, count(*) FILTER (inside % 2 = 1) AS inside FROM (SELECT *, coalesce(sum(fence) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM f) GROUP BY doc_id""")
@@ -88,57 +102,119 @@ def fence_parity(spark, sf):
     return M.numbered_lines(d, "doc_id", "body").groupBy("doc_id").agg(F.count_if("inside").alias("inside"))
 
 
-@query(f"SELECT id, section, heading, breadcrumb FROM {values([(1, 0, None, ''), (1, 1, 'Intro', 'Intro'), (1, 2, 'Details', 'Intro > Details'), (2, 0, None, None)])} t(id, section, heading, breadcrumb)")
+# Documents as Markdown: every fifth line a heading of some level, every eleventh a fence.
+HEADED_SQL = """(SELECT doc_id, pos, CASE WHEN (pos - 1) % 11 = 3 THEN '```' WHEN (pos - 1) % 5 = 1 THEN repeat('#', CAST(1 + (doc_id + pos - 1) % 4 AS INTEGER)) || ' Part ' || (pos - 1) ELSE trim(regexp_replace(line, '[^a-zA-Z .,]', '', 'g'), ' ') END AS line
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents))"""
+
+
+@query(f"""WITH l AS (SELECT *, coalesce(sum(CASE WHEN line LIKE '```%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM {HEADED_SQL}),
+h AS (SELECT *, CASE WHEN NOT inside AND regexp_matches(line, '^#+ ') THEN length(split_part(line, ' ', 1)) ELSE 0 END AS level FROM l),
+s AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h),
+t AS (SELECT doc_id, section, min(pos) AS line_start, max(CASE WHEN level > 0 THEN line[level + 2:] END) AS heading, trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0), ''), chr(10) || ' ') AS text FROM s GROUP BY ALL),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM t WHERE strlen(text) >= 40),
+heads AS (SELECT doc_id, section, level, line[level + 2:] AS name FROM s WHERE level > 0),
+crumbs AS (SELECT k.doc_id, k.section, string_agg(a.name, ' > ' ORDER BY a.section) AS breadcrumb FROM k JOIN heads a ON a.doc_id = k.doc_id AND a.section <= k.section
+  WHERE NOT EXISTS (SELECT 1 FROM heads b WHERE b.doc_id = a.doc_id AND b.section > a.section AND b.section <= k.section AND b.level <= a.level) GROUP BY ALL)
+SELECT doc_id, CAST(section AS BIGINT) AS section, CAST(line_start AS BIGINT) AS line_start, heading, coalesce(breadcrumb, '') AS breadcrumb, sha256(substr(text, 1, 4000)) AS text FROM k LEFT JOIN crumbs USING (doc_id, section) WHERE n > 1
+UNION ALL SELECT doc_id, 0, 1, NULL, NULL, sha256(substr(body, 1, 6000)) FROM (SELECT doc_id, trim(string_agg(line, chr(10) ORDER BY pos), ' ') AS body FROM {HEADED_SQL} GROUP BY doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM k WHERE n > 1)""")
 def chunk_headings(spark, sf):
-    p = frame(spark, [(1, PAGE), (2, "Just one short page.")], "id int, body string")
-    return M.chunks(p, "id", "body").select("id", F.col("section").cast("int").alias("section"), "heading", F.array_join("breadcrumb", " > ").alias("breadcrumb"))
+    """Sections of every document: heading, the headings above it, first line and text."""
+    lines = F.expr("transform(split(text, '\n', -1), (x, i) -> CASE WHEN i % 11 = 3 THEN '```' WHEN i % 5 = 1 THEN concat(repeat('#', int(1 + (doc_id + i) % 4)), ' Part ', i) ELSE trim(regexp_replace(x, '[^a-zA-Z .,]', '')) END)")
+    d = R.table(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n").alias("body"))
+    c = M.chunks(d, "doc_id", "body")
+    return c.select("doc_id", F.col("section").cast("long").alias("section"), F.col("line_start").cast("long").alias("line_start"), "heading", F.array_join("breadcrumb", " > ").alias("breadcrumb"), F.sha2(F.col("text").cast("binary"), 256).alias("text"))
 
 
-CODE = """fn ok(a: Query<&mut Pos, With<Player>>, b: Query<&mut Pos, Without<Player>>) {}
-fn bad(a: Query<&mut Pos>, b: Query<(Entity, &Pos), Or<(With<A>, Without<B>)>>, r: Res<Time>) {}
-fn worse(a: Query<&mut Pos>, b: Query<&mut Pos>, c: ResMut<Score>, d: Res<Score>) {}
-fn set(p: ParamSet<(Query<&mut Pos>, Query<&Pos>)>, c: Commands) {}
-fn world(w: &mut World, r: Res<Time>) {}
-fn or(a: Query<&mut V, (With<A>, With<B>)>, b: Query<&V, Or<(Without<A>, Without<B>)>>) {}"""
-FOUND = [("bad", "R1", "Pos", 0, 1, "B0001"), ("worse", "R2", "Pos", 0, 1, "B0001"), ("worse", "R3", "Score", 2, 3, "B0002"), ("world", "R5", "World", 0, 1, "B0002")]
+# Source of each order: two queries and two resources; which are mutable, and what filters them, by its keys.
+SYSTEM_SQL = """(SELECT o_orderkey AS k, 'sys' || o_orderkey AS system, 'C' || o_custkey % 3 AS c1, 'C' || o_orderkey % 3 AS c2, o_orderkey % 2 = 0 AS m1, o_custkey % 2 = 0 AS m2, o_orderkey % 5 AS f1, o_custkey % 5 AS f2,
+  'R' || o_orderkey % 4 AS r1, 'R' || o_custkey % 4 AS r2, o_orderkey % 3 = 0 AS n1, o_custkey % 3 = 0 AS n2, o_orderkey % 7 = 0 AS world FROM orders)"""
 
 
-@query(f"SELECT * FROM {values(FOUND)} t(system, rule, name, owner_a, owner_b, code)")
+@query(f"""WITH s AS (SELECT *, (f1 = 1 AND f2 = 2) OR (f1 = 2 AND f2 = 1) OR (f1 = 3 AND f2 = 4) OR (f1 = 4 AND f2 = 3) OR (f1 = 1 AND c2 = 'C9') AS apart FROM {SYSTEM_SQL})
+SELECT system, CASE WHEN m1 AND m2 THEN 'R2' ELSE 'R1' END AS rule, c1 AS name, 0 AS owner_a, 1 AS owner_b, 'B0001' AS code FROM s WHERE c1 = c2 AND (m1 OR m2) AND NOT apart
+UNION ALL SELECT system, 'R3', r1, 2, 3, 'B0002' FROM s WHERE r1 = r2 AND (n1 OR n2)
+UNION ALL SELECT system, 'R5', 'World', 4, unnest([0, 1, 2, 3]), 'B0002' FROM s WHERE world""")
 def access_conflicts(spark, sf):
-    return Y.conflicts(Y.extract(frame(spark, [(CODE,)], "code string"), "code"))
+    """Signatures of systems in source text, parsed, and their conflicting accesses by a join."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    filters = F.array(*map(F.lit, ["", ", With<A>", ", Without<A>", ", (With<B>, Changed<D>)", ", Or<(Without<B>, Without<B>)>"]))
+    query_ = lambda k, name, mutable, f: F.concat(F.lit(f"{k}: Query<&"), F.when(mutable, "mut ").otherwise(""), F.lit("C"), name, F.element_at(filters, (f + 1).cast("int")), F.lit(">"))
+    res = lambda k, name, mutable: F.concat(F.lit(f"{k}: Res"), F.when(mutable, "Mut").otherwise(""), F.lit("<R"), name, F.lit(">"))
+    params = F.concat_ws(", ", query_("a", c % 3, o % 2 == 0, o % 5), query_("b", o % 3, c % 2 == 0, c % 5), res("c", o % 4, o % 3 == 0), res("d", c % 4, c % 3 == 0), F.when(o % 7 == 0, "w: &mut World"))
+    code = F.concat(F.lit("// fn not_this(a: Query<&mut X>) {}\nfn sys"), o, F.lit("("), params, F.lit(") { let s = \"fn nor_this(q: Query<&mut X>)\"; }"))
+    return Y.conflicts(Y.extract(R.table(spark, sf, "orders").select(code.alias("code")), "code"))
 
 
-ERRORS = [("error[B0001]: Query<&mut Pos> in system game::move conflicts", "B0001", "panic", None, "&mut"), ("Warning: see B0004 for &World", "B0004", "warning", None, "&"), ("Error: B0002 ResMut<Time<Virtual>> conflicts", "B0002", "panic", "Time<Virtual>", "ResMut"), ("XB0002 is no code", None, None, None, None)]
+# Messages of each order: a code in brackets or alone, a type with nested generics, a reference.
+MESSAGE_SQL = """(SELECT o_orderkey AS id, o_orderkey % 4 AS shape, 'B000' || o_custkey % 9 AS code, o_custkey % 3 AS kind, o_orderkey % 2 AS mutable, 'R' || o_custkey % 5 AS r FROM orders)"""
+TYPE_SQL = "CASE kind WHEN 0 THEN r WHEN 1 THEN r || '<T>' ELSE r || '<A<B<C<D>>>>' END"
 
 
-@query(f"SELECT * FROM {values(ERRORS)} t(message, code, severity, resource_type, access)")
+@query(f"""SELECT id, CASE WHEN shape < 3 THEN code END AS code, CASE shape WHEN 0 THEN 'panic' WHEN 1 THEN 'warning' WHEN 2 THEN 'unknown' END AS severity, CASE WHEN shape < 3 THEN {TYPE_SQL} END AS resource_type,
+  CASE WHEN shape < 3 THEN CASE WHEN mutable = 1 THEN 'ResMut,&mut' ELSE 'Res,&' END END AS access FROM {MESSAGE_SQL}""")
 def parse_error_text(spark, sf):
-    return frame(spark, [(e[0],) for e in ERRORS], "message string").withColumn("e", Y.parse_error("message")).select("message", "e.*")
+    return messages(spark, sf).withColumn("e", Y.parse_error("message")).select("id", "e.*")
+
+
+def messages(spark, sf):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    code, name = F.concat(F.lit("B000"), c % 9), F.concat(F.lit("R"), c % 5)
+    type_ = F.when(c % 3 == 0, name).when(c % 3 == 1, F.concat(name, F.lit("<T>"))).otherwise(F.concat(name, F.lit("<A<B<C<D>>>>")))
+    held = F.when(o % 2 == 1, F.concat(F.lit("ResMut<"), type_, F.lit("> and &mut it"))).otherwise(F.concat(F.lit("Res<"), type_, F.lit("> and &it")))
+    shape = F.when(o % 4 == 0, F.concat(F.lit("error["), code, F.lit("]: "))).when(o % 4 == 1, F.concat(F.lit("Warning: see "), code, F.lit(" for "))).when(o % 4 == 2, F.concat(F.lit("about "), code, F.lit(" with "))).otherwise(F.concat(F.lit("X"), code, F.lit("x no code ")))
+    return R.table(spark, sf, "orders").select(o.alias("id"), F.concat(shape, held).alias("message"))
 
 
-@query(f"SELECT message, t.code, guide FROM {values(ERRORS)} t(message, code, severity, resource_type, access) LEFT JOIN (VALUES ('B0001', 'Use ParamSet.'), ('B0002', 'Use one access.')) g(code, guide) ON t.code = g.code")
+@query(f"""SELECT id, CASE WHEN shape < 3 THEN m.code END AS code, CASE WHEN shape < 3 AND doc_id IS NOT NULL THEN CASE WHEN doc_id % 2 = 0 THEN 'Use ' || source ELSE '# ' || m.code || chr(10) || 'only ' || source END END AS guide
+FROM {MESSAGE_SQL} m LEFT JOIN (SELECT doc_id, source, 'B000' || doc_id AS code FROM documents WHERE doc_id < 7) g ON m.code = g.code""")
 def explain_error(spark, sf):
-    e = frame(spark, [(e[0],) for e in ERRORS], "message string").withColumn("code", Y.parse_error("message")["code"])
-    guides = frame(spark, [("B0001", "# B0001\ntext\n## How to fix\nUse ParamSet."), ("B0002", "# B0002\n## Solution\nUse one access.\n## More\nx")], "c string, text string")
-    fix = F.regexp_extract("text", r"(?ims)^##[^\n]*(?:fix|solution)[^\n]*\n(.*?)(?=^## |\z)", 1)
-    return e.join(guides, F.col("code") == F.col("c"), "left").select("message", "code", F.trim(F.regexp_replace(fix, r"\s+$", "")).alias("guide"))
+    """Each message with its code's guide: the section that fixes it, else the page's beginning."""
+    e = messages(spark, sf).withColumn("code", Y.parse_error("message")["code"])
+    d = R.table(spark, sf, "documents").where("doc_id < 7")  # one page a code
+    page = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# "), "c", F.lit("\ntext\n## How to fix\nUse "), "source", F.lit("\n## More\nx"))).otherwise(F.concat(F.lit("# "), "c", F.lit("\nonly "), "source"))
+    guides = d.withColumn("c", F.concat(F.lit("B000"), "doc_id")).select("c", page.alias("text"))
+    return e.join(guides, F.col("code") == F.col("c"), "left").select("id", "code", Y.short_guide("text").alias("guide"))
 
 
-@query("SELECT * FROM (VALUES ('if x.is_changed() {}', 'is_changed()'), ('a.is_added() || b.is_changed()', 'is_changed(),is_added()'), ('fine', '')) t(code, patterns)")
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'is_changed()' END, CASE WHEN doc_id % 4 = 0 THEN 'is_added()' END) AS patterns FROM documents""")
 def perf_patterns(spark, sf):
-    c = frame(spark, [("if x.is_changed() {}",), ("a.is_added() || b.is_changed()",), ("fine",)], "code string")
-    return c.select("code", F.array_join(Y.anti_patterns("code"), ",").alias("patterns"))
+    code = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "\nif x.is_changed() {}").otherwise(""), F.when(F.col("doc_id") % 4 == 0, "\nif a.is_added() {}").otherwise(""))
+    return R.table(spark, sf, "documents").select("doc_id", F.array_join(Y.anti_patterns(code), ",").alias("patterns"))
 
 
-@query("SELECT doc_id AS dense_id, 'documents' AS source, text AS docs FROM documents UNION ALL SELECT p_partkey, 'rustdoc', p_name FROM part")
+FOUR_SQL = """(SELECT 0 AS place, p_partkey AS key, 'rustdoc' AS source, p_name AS docs FROM part UNION ALL SELECT 1, doc_id, 'website', text FROM documents
+  UNION ALL SELECT 2, page_id, 'examples', url FROM pages UNION ALL SELECT 3, item_id, 'meta', text FROM benchmark)"""
+
+
+def four_sources(spark, sf):
+    t = lambda name, key, source, docs: R.table(spark, sf, name).select(F.col(key).alias("key"), F.lit(source).alias("source"), F.col(docs).alias("docs"))
+    return [t("part", "p_partkey", "rustdoc", "p_name"), t("documents", "doc_id", "website", "text"), t("pages", "page_id", "examples", "url"), t("benchmark", "item_id", "meta", "text")]
+
+
+@query(f"SELECT row_number() OVER (ORDER BY place, key) - 1 AS dense_id, source, key, sha256(docs) AS docs FROM {FOUR_SQL}")
 def union_sources(spark, sf):
-    return R.documents(spark, sf).select("dense_id", "source", "docs").unionByName(R.parts(spark, sf).select("dense_id", "source", "docs"))
+    """The four sources one after the other, each in its own order, numbered through."""
+    return O.in_order(four_sources(spark, sf), ["key"]).select("dense_id", "source", "key", F.sha2(F.col("docs").cast("binary"), 256).alias("docs"))
+
+
+@query(f"""WITH u AS (SELECT row_number() OVER (ORDER BY place, key) - 1 AS ord, source, docs FROM {FOUR_SQL}), m AS (SELECT source, docs, min(ord) AS ord, count(*) AS copies FROM u GROUP BY source, docs)
+SELECT row_number() OVER (ORDER BY ord) - 1 AS dense_id, source, copies, sha256(docs) AS docs FROM m""")
+def dense_ids(spark, sf):
+    """Places after the merge of equal records, by where each stood first."""
+    from ..operators import index as I
+
+    rows = O.in_order(four_sources(spark, sf), ["key"], "ord").withColumn("hash", F.sha2(F.concat_ws("|", "source", "docs"), 256))
+    merged = I.dedup_merge(rows, "hash", "ord", ["source"], "docs", {})
+    return O.dense_ids(merged, ["ord"]).select("dense_id", "source", "copies", F.sha2(F.col("docs").cast("binary"), 256).alias("docs"))
 
 
-@query("SELECT name, kind, docs, draft FROM (VALUES ('A', 'struct', 'first', false), ('B', 'fn', '', true)) t(name, kind, docs, draft)")
+@query("SELECT 'n' || o_orderkey AS name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'struct' END AS kind, o_orderpriority AS docs, o_orderkey % 4 = 0 AS draft FROM orders")
 def scan_ndjson(spark, sf):
+    """Records of the orders written as line JSON, with unknown and absent keys and blank lines, and read again."""
     import uuid
 
+    key = F.col("o_orderkey")
     path = f"{shared_dir(spark)}/ndjson-{uuid.uuid4().hex}"
-    frame(spark, [('{"name":"A","kind":"struct","docs":"first","unknown":1}',), ("",), ('{"name":"B","kind":"fn","draft":true}',)], "value string").coalesce(1).write.text(path)
+    row = F.to_json(F.struct(F.concat(F.lit("n"), key).alias("name"), F.when(key % 3 > 0, "struct").alias("kind"), F.col("o_orderpriority").alias("docs"), F.when(key % 4 == 0, True).alias("draft"), key.alias("unknown")))
+    R.table(spark, sf, "orders").select(F.when(key % 10 == 0, F.concat(row, F.lit("\n"))).otherwise(row).alias("value")).write.text(path)
     return R.read_ndjson(spark, path).select("name", "kind", "docs", "draft")

@@ -9,6 +9,7 @@ from ..functions.vocab import DEFINITIONS, INTENTS, STOPWORDS  # noqa: F401
 from ..operators import corpus as C
 from ..operators import index as I
 from ..operators import search as S
+from ..operators import similar as N
 from ..sources import records as R
 from . import prepared
 
@@ -137,11 +138,11 @@ def ident_tokens(spark, sf):
     return R.parts(spark, sf).select("dense_id", F.array_join(X.name_tokens("name"), " ").alias("tokens"))
 
 
-@query(f"SELECT w AS word, {SINGULAR} AS one FROM (SELECT DISTINCT lower(unnest(string_split(p_name || 's', ' '))) AS w FROM part UNION SELECT unnest(['entities','classes','boxes','bus','glass','matches','ties','as','systems','wishes','quizzes']))")
+@query(f"""SELECT DISTINCT w AS word, {SINGULAR} AS one FROM (SELECT lower(x || e) AS w FROM (SELECT unnest(string_split(p_name, ' ')) AS x FROM part), (SELECT unnest(['', 's', 'es', 'ies', 'ss', 'us', 'ches', 'shes', 'xes', 'zes']) AS e))""")
 def singularize(spark, sf):
-    words = R.table(spark, sf, "part").select(F.explode(F.split(F.lower(F.concat("p_name", F.lit("s"))), " ")).alias("word")).distinct()
-    fixed = spark.createDataFrame([(w,) for w in "entities classes boxes bus glass matches ties as systems wishes quizzes".split()], "word string")
-    return words.union(fixed).distinct().select("word", X.singular("word").alias("one"))
+    ends = F.array(*map(F.lit, ["", "s", "es", "ies", "ss", "us", "ches", "shes", "xes", "zes"]))
+    words = R.table(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct().select("w", F.explode(ends).alias("e")).select(F.concat("w", "e").alias("word")).distinct()
+    return words.select("word", X.singular("word").alias("one"))
 
 
 @query(f"SELECT dense_id, lower(replace(full_path, ' ', '')) AS key FROM {PARTS}")
@@ -297,8 +298,26 @@ def rename_candidates(spark, sf):
     return S.rename_candidates(prose, S.first_of(R.parts(spark, sf), ["name"], ["dense_id"]), "OldReader")
 
 
-@query(f"SELECT name, CAST(count(*) > 0 AS BOOLEAN) AS present FROM (SELECT unnest(['RedWidget', 'HotGear', 'NoSuchThing']) AS name) v LEFT JOIN (SELECT DISTINCT name AS found FROM {PARTS}) p ON v.name = p.found GROUP BY name, found HAVING true".replace("CAST(count(*) > 0 AS BOOLEAN)", "found IS NOT NULL"))
+@query(f"SELECT c_custkey, wanted AS name, wanted IN (SELECT name FROM {PARTS}) AS present FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'RedWidget' WHEN 1 THEN upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || 'Gear' ELSE 'NoSuch' || c_custkey END AS wanted FROM customer)")
 def symbols_present(spark, sf):
-    wanted = spark.createDataFrame([("RedWidget",), ("HotGear",), ("NoSuchThing",)], "name string")
+    """Which of the names that each customer wants are there: a semi-join on distinct names."""
+    key = F.col("c_custkey")
+    name = F.when(key % 3 == 0, "RedWidget").when(key % 3 == 1, F.concat(F.initcap("c_mktsegment"), F.lit("Gear"))).otherwise(F.concat(F.lit("NoSuch"), key))
     have = R.parts(spark, sf).select(F.col("name").alias("found")).distinct()
-    return wanted.join(have, wanted["name"] == have["found"], "left").select("name", F.col("found").isNotNull().alias("present"))
+    wanted = R.table(spark, sf, "customer").select("c_custkey", name.alias("name"))
+    return wanted.join(have, F.col("name") == F.col("found"), "left").select("c_custkey", "name", F.col("found").isNotNull().alias("present"))
+
+
+# Each part's brand and name, and the same with one to three slips by its key: letters left out, put in or changed.
+NEAR_NAMES_SQL = "(SELECT DISTINCT lower(replace(p_brand || p_name, ' ', '')) AS name FROM part)"
+TYPO_SQL = """(SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN n[1:3] || n[5:] WHEN 1 THEN n[1:5] || 'zq' || n[6:] WHEN 2 THEN 'x' || n[2:7] || n[9:] || 'y' ELSE n[1:4] || 'q' || n[6:] END AS query
+  FROM (SELECT p_partkey, lower(replace(p_brand || p_name, ' ', '')) AS n FROM part))"""
+
+
+@query(f"SELECT query, name, CAST(levenshtein(query, name) AS INTEGER) AS distance FROM {TYPO_SQL}, {NEAR_NAMES_SQL} WHERE levenshtein(query, name) <= 3")
+def fuzzy_names(spark, sf):
+    """All names within edit distance 3 of each misspelt one, by the parts that they share."""
+    n = F.lower(F.replace(F.concat("p_brand", "p_name"), F.lit(" "), F.lit("")))
+    p = R.table(spark, sf, "part").select("p_partkey", n.alias("n"))
+    typo = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat(substr(n, 1, 3), substr(n, 5)) WHEN 1 THEN concat(substr(n, 1, 5), 'zq', substr(n, 6)) WHEN 2 THEN concat('x', substr(n, 2, 6), substr(n, 9), 'y') ELSE concat(substr(n, 1, 4), 'q', substr(n, 6)) END")
+    return N.near(p.select(typo.alias("query")), p.select(F.col("n").alias("name")), 3)
