@@ -80,7 +80,8 @@ class Corpus:
         merged = merge(text, names)
         out = exact.unionByName(merged)
         if key:
-            out = S.first_of(out.join(self.records.select("dense_id", *(c for c in key if isinstance(c, str))), "dense_id"), key, [F.desc("score"), "dense_id"]).select("dense_id", "score")
+            rows = self.records.drop("docs", "signature") if any(not isinstance(c, str) for c in key) else self.records.select("dense_id", *key)
+            out = S.first_of(rows.join(F.broadcast(out), "dense_id"), key, [F.desc("score"), "dense_id"]).select("dense_id", "score")  # at most the pools and caps
         return out.orderBy(F.round("score", 6).desc(), "dense_id").limit(limit)
 
 

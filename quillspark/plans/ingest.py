@@ -60,10 +60,7 @@ CLASSIFY_SQL = """(SELECT doc_id, 'slug_' || source || '_' || doc_id AS slug, '0
   WHEN 12 THEN 'content/donate.md' WHEN 13 THEN 'content/sponsorship-pledge/' || source || '.md' WHEN 14 THEN 'release-content/0.' || doc_id % 21 || '/other/' || source || '.md' ELSE source || '/README.md' END AS path FROM documents)"""
 
 
-@query(f"""SELECT doc_id, path, ['migration_guide', 'migration_guide', 'migration_entry', 'migration_entry', 'release_notes', 'book', 'tutorial', 'tutorial', 'guide', 'faq', 'news', 'foundation', 'donate', 'sponsorship', 'doc', 'doc'][shape + 1] AS kind,
-  CASE shape WHEN 0 THEN 'Migration guide 0.' || doc_id % 21 || ' -> 0.' || (doc_id % 21 + 1) WHEN 1 THEN 'Migration guides (index)' WHEN 2 THEN replace(slug, '_', ' ') WHEN 3 THEN replace(slug, '_', ' ') WHEN 4 THEN replace(slug, '_', ' ') WHEN 9 THEN 'FAQ' END AS title,
-  CASE WHEN shape IN (2, 3, 4) THEN '0.' || doc_id % 21 END AS version, CASE WHEN shape = 0 THEN '0.' || doc_id % 21 END AS from_version, CASE WHEN shape = 0 THEN '0.' || (doc_id % 21 + 1) END AS to_version, CASE WHEN shape = 2 THEN doc_id END AS pr FROM {CLASSIFY_SQL}""")
-def classify_path(spark, sf):
+def classified_paths(spark, sf):
     shapes = [
         "content/learn/migration-guides/0.{v}-to-0.{w}.md", "content/learn/migration-guides/_index{id}.md", "release-content/0.{v}/migration-guides/{id}_slug_{s}_{id}.md", "release-content/0.{v}/migration-guides/slug_{s}_{id}.md",
         "release-content/0.{v}/release-notes/{id}_slug_{s}_{id}.md", "content/learn/book/{s}.md", "content/learn/quick-start/{s}/a.md", "content/learn/advanced-examples/{s}.md", "content/learn/{s}.md", "content/faq/{s}.md", "content/news/{s}.md",
@@ -73,7 +70,14 @@ def classify_path(spark, sf):
     path = F.element_at(F.array(*map(F.lit, shapes)), (key % 16 + 1).cast("int"))
     for name, value in (("{v}", key % 21), ("{w}", key % 21 + 1), ("{id}", key), ("{s}", F.col("source"))):
         path = F.replace(path, F.lit(name), value.cast("string"))
-    return R.table(spark, sf, "documents").select("doc_id", path.alias("path")).withColumn("c", M.classify("path")).select("doc_id", "path", "c.kind", "c.title", "c.version", "c.from_version", "c.to_version", "c.pr")
+    return R.table(spark, sf, "documents").select("doc_id", path.alias("path"))
+
+
+@query(f"""SELECT doc_id, path, ['migration_guide', 'migration_guide', 'migration_entry', 'migration_entry', 'release_notes', 'book', 'tutorial', 'tutorial', 'guide', 'faq', 'news', 'foundation', 'donate', 'sponsorship', 'doc', 'doc'][shape + 1] AS kind,
+  CASE shape WHEN 0 THEN 'Migration guide 0.' || doc_id % 21 || ' -> 0.' || (doc_id % 21 + 1) WHEN 1 THEN 'Migration guides (index)' WHEN 2 THEN replace(slug, '_', ' ') WHEN 3 THEN replace(slug, '_', ' ') WHEN 4 THEN replace(slug, '_', ' ') WHEN 9 THEN 'FAQ' END AS title,
+  CASE WHEN shape IN (2, 3, 4) THEN '0.' || doc_id % 21 END AS version, CASE WHEN shape = 0 THEN '0.' || doc_id % 21 END AS from_version, CASE WHEN shape = 0 THEN '0.' || (doc_id % 21 + 1) END AS to_version, CASE WHEN shape = 2 THEN doc_id END AS pr FROM {CLASSIFY_SQL}""")
+def classify_path(spark, sf):
+    return classified_paths(spark, sf).withColumn("c", M.classify("path")).select("doc_id", "path", "c.kind", "c.title", "c.version", "c.from_version", "c.to_version", "c.pr")
 
 
 # Paths made from parts: a folder and a file name by the key, some in capitals.
@@ -85,11 +89,15 @@ TAG_SQL = ", ".join("CASE WHEN " + " OR ".join(f"contains('/' || path, '{w}')" f
 
 @query(f"SELECT key, concat_ws(',', {TAG_SQL}) AS tags FROM {PATH_SQL}")
 def categorise(spark, sf):
+    return example_paths(spark, sf).select("key", F.array_join(M.categorise("path"), ",").alias("tags"))
+
+
+def example_paths(spark, sf):
     key = F.col("p_partkey")
     end = F.when(key % 7 == 0, "_timer").when(key % 7 == 1, "/ui").when(key % 7 == 2, "_Camera").when(key % 7 == 3, "_system_error").otherwise("")
     folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (key % len(FOLDERS) + 1).cast("int"))
     path = F.concat(F.lit("examples/"), folder, F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), end, F.lit(".rs"))
-    return R.table(spark, sf, "part").select(key.alias("key"), F.array_join(M.categorise(path), ",").alias("tags"))
+    return R.table(spark, sf, "part").select(key.alias("key"), path.alias("path"))
 
 
 @query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos, doc_id FROM documents),
@@ -107,6 +115,11 @@ HEADED_SQL = """(SELECT doc_id, pos, CASE WHEN (pos - 1) % 11 = 3 THEN '```' WHE
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents))"""
 
 
+def marked_documents(spark, sf):
+    lines = F.expr("transform(split(text, '\n', -1), (x, i) -> CASE WHEN i % 11 = 3 THEN '```' WHEN i % 5 = 1 THEN concat(repeat('#', int(1 + (doc_id + i) % 4)), ' Part ', i) ELSE trim(regexp_replace(x, '[^a-zA-Z .,]', '')) END)")
+    return R.table(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n").alias("body"))
+
+
 @query(f"""WITH l AS (SELECT *, coalesce(sum(CASE WHEN line LIKE '```%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM {HEADED_SQL}),
 h AS (SELECT *, CASE WHEN NOT inside AND regexp_matches(line, '^#+ ') THEN length(split_part(line, ' ', 1)) ELSE 0 END AS level FROM l),
 s AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h),
@@ -119,9 +132,7 @@ SELECT doc_id, CAST(section AS BIGINT) AS section, CAST(line_start AS BIGINT) AS
 UNION ALL SELECT doc_id, 0, 1, NULL, NULL, sha256(substr(body, 1, 6000)) FROM (SELECT doc_id, trim(string_agg(line, chr(10) ORDER BY pos), ' ') AS body FROM {HEADED_SQL} GROUP BY doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM k WHERE n > 1)""")
 def chunk_headings(spark, sf):
     """Sections of every document: heading, the headings above it, first line and text."""
-    lines = F.expr("transform(split(text, '\n', -1), (x, i) -> CASE WHEN i % 11 = 3 THEN '```' WHEN i % 5 = 1 THEN concat(repeat('#', int(1 + (doc_id + i) % 4)), ' Part ', i) ELSE trim(regexp_replace(x, '[^a-zA-Z .,]', '')) END)")
-    d = R.table(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n").alias("body"))
-    c = M.chunks(d, "doc_id", "body")
+    c = M.chunks(marked_documents(spark, sf), "doc_id", "body")
     return c.select("doc_id", F.col("section").cast("long").alias("section"), F.col("line_start").cast("long").alias("line_start"), "heading", F.array_join("breadcrumb", " > ").alias("breadcrumb"), F.sha2(F.col("text").cast("binary"), 256).alias("text"))
 
 

@@ -100,6 +100,7 @@ def categorise(path: Column | str) -> Column:
 
 
 def module_doc(code: Column | str) -> Column:
-    """The leading //! block without its marks."""
-    block = F.regexp_extract(X.col(code), r"^(\s*(?://![^\n]*\n?)+)", 1)
-    return F.trim(F.regexp_replace(block, r"(?m)^\s*//! ?", ""))
+    """The //! lines at the very top without their marks; empty lines between them are skipped."""
+    block = F.regexp_extract(X.col(code), r"\A((?:[ \t]*//![^\n]*(?:\n|\z)(?:[ \t\r]*\n)*)+)", 1)
+    lines = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*//!([^\n]*)$"), F.lit(1))
+    return F.regexp_replace(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), "\n"), r"^\s+|\s+$", "")
