@@ -38,7 +38,7 @@ from .store import Tables, arrow_rows, partitions
 
 WINDOW, END = 4096, 2
 #: Tokens of a shard, query terms of a seed, words of a generation that a worker keeps.
-SHARD, TERMS, KNOWN = 1 << 20, 12, 300_000
+SHARD, TERMS, KNOWN = 1 << 20, 12, 400_000
 #: Bytes of token ids that a task of the range partitioning should get.
 TASK_BYTES = 64 << 20
 K1, B = 1.2, 0.75
@@ -67,6 +67,15 @@ def _bytes(word: str) -> str:
     return word.encode().decode("latin-1").translate(_STANDS)
 
 
+def _pieces(strings: pa.StringArray) -> list[bytes]:
+    """The values of an array without nulls, cut from its buffer at once."""
+    if not len(strings):
+        return []
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    data = strings.buffers()[2].to_pybytes() if strings.buffers()[2] is not None else b""
+    return [data[low:high] for low, high in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 class TokenIds:
     """Token ids of texts by the words between blanks, for a tokenizer that never joins words over blanks. Words met lately
     are kept in two generations of at most ``KNOWN`` words each, so that common ones stay; this changes no result."""
@@ -86,40 +95,50 @@ class TokenIds:
         n, s = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.plain = n is not None and s is not None and n.normalize_str(probe) == probe and s.pre_tokenize_str(probe) == [(_bytes(probe), (0, len(probe)))]
 
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of words that are not known yet."""
-        text = [w.decode() for w in words]
-        whole = [w for w in text if not (self.plain and _small(w))]
-        got = dict(zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True))
-        tokenize = self.tokenizer.model.tokenize
-        return [got[w].ids if w in got else [t.id for t in tokenize(w if w.isascii() else _bytes(w))] for w in text]
+    def _learn(self, words: set[bytes]) -> None:
+        """Encodes words that are not known yet."""
+        new, tokenize, code, rest = self.new, self.tokenizer.model.tokenize, self.code, []
+        for w in words:
+            text = w.decode()
+            if self.plain and _small(text):
+                new[w] = array(code, [t.id for t in tokenize(text if text.isascii() else _bytes(text))]).tobytes()
+            else:
+                rest.append(text)
+        for text, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            new[text.encode()] = array(code, e.ids).tobytes()
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as bytes."""
         if len(self.new) > KNOWN:
             self.new, self.old = {}, self.new
-        found = list(map(self.new.get, words))
-        for k in [k for k, v in enumerate(found) if v is None]:
-            if (v := self.old.get(words[k])) is not None:
-                found[k] = self.new[words[k]] = v
-        missing = [k for k, v in enumerate(found) if v is None]
-        if missing:
-            # marks at the end of a word in letters or digits are tokens of their own
-            stems, marks = [], []
-            for k in missing:
+        new, old = self.new, self.old
+        found = list(map(new.get, words))
+        ask, cut, whole = set(), [], []
+        for k, v in enumerate(found):
+            if v is None:
                 w = words[k]
-                stem = w.rstrip(_END_MARKS)
-                cut = len(stem) if stem and stem[-1] in _ALNUM else len(w)
-                stems.append(w[:cut])
-                marks.append(w[cut:])
-            ask = [w for w in {*stems, *marks} if w and w not in self.new]
-            ids = dict(zip(ask, (array(self.code, i).tobytes() for i in self._encode(ask)), strict=True))
-            self.new |= ids
-            self.new[b""] = b""
-            for k, stem, mark in zip(missing, stems, marks, strict=True):
-                found[k] = self.new[stem] + self.new[mark]
-                if mark:
-                    self.new[words[k]] = found[k]
+                if w[-1:] in _END_MARKS and w:  # marks at the end of a word in letters or digits are tokens of their own
+                    stem = w.rstrip(_END_MARKS)
+                    if stem and stem[-1] in _ALNUM:
+                        mark = w[len(stem) :]
+                        cut.append((k, stem, mark))
+                        for part in (stem, mark):
+                            if part not in new:
+                                if part in old:
+                                    new[part] = old[part]
+                                else:
+                                    ask.add(part)
+                        continue
+                if w in old:
+                    found[k] = new[w] = old[w]
+                else:
+                    whole.append(k)
+                    ask.add(w)
+        self._learn(ask)
+        for k in whole:
+            found[k] = new[words[k]]
+        for k, stem, mark in cut:
+            found[k] = new[stem] + new[mark]
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +147,7 @@ class TokenIds:
         small = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(small)
         words = split.flatten().dictionary_encode()
-        values = self._ids(words.dictionary.cast(pa.binary()).to_pylist())
+        values = self._ids(_pieces(words.dictionary))
         pool = np.frombuffer(b"".join(values), self.dtype)
         size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
         start = np.cumsum(size) - size
