@@ -124,26 +124,6 @@ def suggestions(records: DataFrame, query: str, limit: int = 5) -> DataFrame:
     return s.crossJoin(F.broadcast(best)).where("score >= _best - 60").orderBy(F.desc("score"), "dense_id").limit(limit).select("dense_id", "score")
 
 
-def rename_candidates(prose: DataFrame, records: DataFrame, symbol: str, reach: int = 300) -> DataFrame:
-    """Back-ticked names near a back-ticked symbol in prose that are records; the best document's, nearest first."""
-    key = symbol.lower()
-    ticked = F.posexplode(F.split("docs", "`", -1))
-    t = prose.select("dense_id", "docs", ticked.alias("i", "w"))
-    w = Window.partitionBy("dense_id").orderBy("i")  # one text's pieces
-    t = t.withColumn("at", F.coalesce(F.sum(F.octet_length("w") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("i % 2 = 1")
-    me = t.where(F.lower("w") == key).select("dense_id", F.col("at").alias("own"))
-    other = t.where(F.lower("w") != key)
-    near = other.join(me, "dense_id").where(F.abs(F.col("at") - F.col("own")) <= reach).groupBy("dense_id", "docs", F.lower("w").alias("w")).agg(F.min(F.abs(F.col("at") - F.col("own"))).alias("distance"))
-    known = records.select(F.lower("name").alias("w"), F.col("name"), F.col("dense_id").alias("record"), F.col("kind"))
-    tokens = X.py_name_tokens(symbol)
-    head = F.array_contains(X.name_tokens("name"), tokens[-1]) if tokens else F.lit(False)
-    phrase = F.lower("docs").rlike("renamed|now known as|replaced")
-    score = 200 - F.floor(F.col("distance") / 2) + F.when(head, 40).otherwise(0) + F.when(F.col("kind").isin(*DEFINITIONS), 10).otherwise(0) + F.when(phrase, 30).otherwise(0)
-    s = near.join(known, "w").withColumn("score", score.cast("int"))
-    best = s.agg(F.max_by("dense_id", F.struct("score", "dense_id")).alias("_doc"))
-    return s.crossJoin(F.broadcast(best)).where(F.col("dense_id") == F.col("_doc")).select("record", "name", "distance", "score")
-
-
 def related(records: DataFrame, owner: str, but: int, limit: int = 12) -> DataFrame:
     """The first members of an owner in record order, then by name."""
     members = records.where((X.base_name("owner") == owner) & F.col("kind").isin(*MEMBERS) & (F.col("dense_id") != but))

@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..functions.vocab import DEFINITIONS, INTENTS, STOPWORDS  # noqa: F401
 from ..operators import corpus as C
 from ..operators import index as I
+from ..operators import renames as Renames
 from ..operators import search as S
 from ..operators import similar as N
 from ..sources import records as R
@@ -292,10 +293,29 @@ def examples_rerank(spark, sf):
     return S.examples_rerank(hits, ["license", "version"]).select("dense_id", "relevance")
 
 
-@query()
+# Documents with two parts' names put into their lines: one as an old name, both in back-ticks.
+PROSE_SQL = f"""(SELECT doc_id, a.name AS n1, b.name AS n2, a.docs AS d1, list_aggregate(list_transform(string_split(text, chr(10)), lambda x, i: x || CASE (i - 1) % 4 WHEN 0 THEN ' Old' || a.name || ' is renamed.' WHEN 1 THEN ' `' || b.name || '`' WHEN 2 THEN ' `' || a.name || '::' || b.name || ' gear`' ELSE '' END), 'string_agg', chr(10)) AS body
+  FROM documents JOIN {PARTS} a ON a.dense_id = doc_id % 200 JOIN {PARTS} b ON b.dense_id = (doc_id * 7 + 3) % 200)"""
+
+
+@query(f"""WITH d AS (SELECT *, 'Old' || n1 AS symbol FROM {PROSE_SQL}),
+p AS (SELECT doc_id, symbol, n1, d1, string_split(body, symbol) AS cut, string_split(body, '`') AS ticks FROM d),
+own AS (SELECT doc_id, symbol, d1, list_sum(list_transform(cut[:k], lambda x: strlen(x))) + (k - 1) * strlen(symbol) AS pos FROM (SELECT *, unnest(range(1, len(cut))) AS k FROM p)),
+seg AS (SELECT doc_id, ticks[k] AS segment, list_sum(list_transform(ticks[:k - 1], lambda x: strlen(x))) + k - 1 AS start FROM (SELECT *, unnest(range(2, len(ticks), 2)) AS k FROM p)),
+tok AS (SELECT doc_id, start, unnest(regexp_extract_all(segment, '[A-Za-z0-9_]+')) AS token FROM seg),
+first AS (SELECT name, min(dense_id) AS record FROM {PARTS} GROUP BY name),
+near AS (SELECT symbol, doc_id, token AS name, start, min(abs(start - pos)) AS distance, any_value(string_split(d1, ' ')[2]) AS noun FROM own JOIN tok USING (doc_id) WHERE abs(start - pos) <= 300 GROUP BY ALL),
+scored AS (SELECT symbol, doc_id AS doc, record, n.name, distance, CAST(200 - distance // 2 + CASE WHEN lower(n.name) LIKE '%' || noun THEN 40 ELSE 0 END + 30 AS INTEGER) AS score FROM near n JOIN first f ON f.name = n.name),
+best AS (SELECT symbol, max(row(score, doc))[2] AS doc FROM scored GROUP BY symbol)
+SELECT symbol, doc, record, name, CAST(min(distance) AS BIGINT) AS distance, max(score) AS score FROM scored JOIN best USING (symbol, doc) GROUP BY ALL""")
 def rename_candidates(spark, sf):
-    prose = spark.createDataFrame([(1, "The `OldReader` type is now known as `RedWidget`; see `BlueBolt`."), (2, "`OldReader` and `HotGear`")], "dense_id long, docs string")
-    return S.rename_candidates(prose, S.first_of(R.parts(spark, sf), ["name"], ["dense_id"]), "OldReader")
+    """For every part's name with Old before it: the names that prose puts near it in back-ticks."""
+    p = R.parts(spark, sf)
+    one, two = p.select(F.col("dense_id").alias("k1"), F.col("name").alias("n1")), p.select(F.col("dense_id").alias("k2"), F.col("name").alias("n2"))
+    d = R.table(spark, sf, "documents").withColumn("k1", F.col("doc_id") % 200).withColumn("k2", (F.col("doc_id") * 7 + 3) % 200).join(one, "k1").join(two, "k2")
+    said = "CASE i % 4 WHEN 0 THEN concat(' Old', n1, ' is renamed.') WHEN 1 THEN concat(' `', n2, '`') WHEN 2 THEN concat(' `', n1, '::', n2, ' gear`') ELSE '' END"
+    prose = d.select(F.col("doc_id").alias("dense_id"), F.array_join(F.expr(f"transform(split(text, '\\n', -1), (x, i) -> concat(x, {said}))"), "\n").alias("docs"))
+    return Renames.rename_candidates(prose, p, p.select(F.concat(F.lit("Old"), "name").alias("symbol")).distinct())
 
 
 @query(f"SELECT c_custkey, wanted AS name, wanted IN (SELECT name FROM {PARTS}) AS present FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'RedWidget' WHEN 1 THEN upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || 'Gear' ELSE 'NoSuch' || c_custkey END AS wanted FROM customer)")
