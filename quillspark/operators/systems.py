@@ -146,7 +146,7 @@ def accesses(code: str) -> list[tuple]:
 
 def extract(sources: DataFrame, code: str) -> DataFrame:
     ship(sources.sparkSession)
-    udf = F.udf(accesses, f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in ACCESS.split(', '))}>>")
+    udf = F.udf(accesses, f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in ACCESS.split(', '))}>>", useArrow=True)
     return sources.select(F.explode(udf(code)).alias("a")).select("a.*")
 
 

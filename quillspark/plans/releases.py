@@ -137,8 +137,8 @@ def range_compat(spark, sf):
     return C.range_join(versions(spark, sf), requirements(spark, sf))
 
 
-COMPAT_SQL = f"SELECT 'plugin' || o_custkey % 200 AS plugin, (o_orderkey % 3) || '.' || (o_orderkey % 11) || '.' || o_orderkey AS plugin_version, requires, o_orderkey AS ord FROM ({REQUIREMENT_SQL}) JOIN orders USING (o_orderkey)"
-ASKED_SQL = "SELECT DISTINCT 'plugin' || l_suppkey % 230 AS plugin, CASE WHEN l_partkey % 9 > 0 THEN (l_partkey % 2) || '.' || (l_partkey % 23) || '.' || (l_linenumber % 7) END AS version FROM lineitem"
+COMPAT_SQL = f"SELECT 'plugin' || o_custkey AS plugin, (o_orderkey % 3) || '.' || (o_orderkey % 11) || '.' || o_orderkey AS plugin_version, requires, o_orderkey AS ord FROM ({REQUIREMENT_SQL}) JOIN orders USING (o_orderkey)"
+ASKED_SQL = "SELECT DISTINCT 'plugin' || l_orderkey // 10 AS plugin, CASE WHEN l_partkey % 9 > 0 THEN (l_partkey % 2) || '.' || (l_partkey % 23) || '.' || (l_linenumber % 7) END AS version FROM lineitem"
 
 
 @query(f"""WITH j AS (SELECT plugin, version, plugin_version, ord, CASE WHEN lo IS NULL OR version IS NULL THEN NULL ELSE {CORE('version')} >= lo AND (hi IS NULL OR {CORE('version')} < hi) END AS ok
@@ -148,9 +148,9 @@ SELECT plugin, version, CASE WHEN bool_or(ok) THEN true WHEN bool_or(ok IS NULL)
 def compat_matrix(spark, sf):
     """Verdict, newest and matching releases for each question of the line items about a plugin and a version."""
     key = F.col("o_orderkey")
-    compat = requirements(spark, sf).select(F.concat(F.lit("plugin"), F.col("o_custkey") % 200).alias("plugin"), F.format_string("%d.%d.%d", key % 3, key % 11, key).alias("plugin_version"), "requires", key.alias("ord"))
+    compat = requirements(spark, sf).select(F.concat(F.lit("plugin"), F.col("o_custkey")).alias("plugin"), F.format_string("%d.%d.%d", key % 3, key % 11, key).alias("plugin_version"), "requires", key.alias("ord"))
     wanted = F.when(F.col("l_partkey") % 9 > 0, F.format_string("%d.%d.%d", F.col("l_partkey") % 2, F.col("l_partkey") % 23, F.col("l_linenumber") % 7))
-    asked = R.table(spark, sf, "lineitem").select(F.concat(F.lit("plugin"), F.col("l_suppkey") % 230).alias("plugin"), wanted.alias("version"))
+    asked = R.table(spark, sf, "lineitem").select(F.concat(F.lit("plugin"), F.expr("l_orderkey div 10")).alias("plugin"), wanted.alias("version"))
     return C.matrix(asked, compat)
 
 
