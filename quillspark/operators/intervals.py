@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Cells into which the points are cut; the cuts travel as literals.
 CELLS = 128
 
@@ -39,21 +42,24 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, take: l
     """Every row of ``left`` with the columns ``take`` of the row of ``right`` that has the same ``by`` and the largest
     ``on`` not above its own; null where there is none. Of right rows with equal ``by`` and ``on`` the largest ``take`` counts.
 
-    Both sides are laid end to end and dealt by range of (by, on), right before left at equal places; within a range the
-    last right row is carried forward, and what a range inherits is the last right row of the ranges before it, a row a range.
-    So a group of any size is spread over as many tasks as its rows need, and no group is sorted in one task. Null ``by`` or
-    ``on`` on the left finds nothing; on the right it is left out.
+    Both sides are laid end to end, dealt by range of (by, on), right before left at equal places, and written once with the
+    number of each row's range: dealt twice, the same row may fall into two ranges, as cuts are sampled and small ranges merged.
+    Within a range the last right row is carried forward, and what a range inherits is the last right row of the ranges
+    before it, a row a range. So a group of any size is spread over as many tasks as its rows need, and no group is sorted in
+    one task. Null ``by`` or ``on`` on the left finds nothing; on the right it is left out.
     """
+    spark = left.sparkSession
     known = F.struct(*(F.col(c) for c in by), F.col(on), F.struct(*take).alias("_take"))
     r = right.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, on])).select(*by, on, F.lit(0).alias("_side"), known.alias("_right"), F.lit(None).alias("_left"))
     whole = F.struct(*left.columns)
     lft = left.select(*by, on, F.lit(1).alias("_side"), F.lit(None).alias("_right"), whole.alias("_left"))
     order = [*by, on, "_side", F.col("_right._take").asc_nulls_last()]
-    both = r.unionByName(lft).repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    laid, path = r.unionByName(lft), f"{shared_dir(spark)}/asof-{uuid.uuid4().hex}"
+    laid.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()).write.parquet(path)
+    both = spark.read.schema(laid.schema.add("_pid", "integer")).parquet(path)
     upto = (Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("_last", F.last("_right", ignorenulls=True).over(Window.partitionBy("_pid").orderBy(*order).rowsBetween(*upto)))
-    ends = seen.groupBy("_pid").agg(F.max(F.struct(*(F.col(f"_right.{c}").alias(c) for c in [*by, on]), F.col("_right._take").alias("_take"))).alias("_end"))
-    ends = ends.select("_pid", F.when(F.col(f"_end.{on}").isNotNull(), F.col("_end")).alias("_end"))
+    ends = both.groupBy("_pid").agg(F.max(F.when(F.col("_side") == 0, F.col("_right"))).alias("_end"))
     before = ends.select("_pid", F.last("_end", ignorenulls=True).over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # a row a range
     done = seen.where("_side = 1").join(F.broadcast(before), "_pid")
     found = F.coalesce("_last", F.col("_before"))

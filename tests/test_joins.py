@@ -80,6 +80,26 @@ def test_nearest_earlier(spark):
     assert sorted((r.i, r.v) for r in out.collect()) == sorted((i, best(k, t)) for i, k, t in left)
 
 
+@pytest.fixture
+def narrow(spark):
+    """Small reads, so that a shuffle of one megabyte keeps several partitions."""
+    keys = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def test_nearest_earlier_over_several_ranges(spark, narrow):
+    left = spark.range(20_000).select("id", F.pmod(F.xxhash64("id"), F.lit(40)).alias("k"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)).alias("t"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+    right = spark.range(3_000).select(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(50)).alias("k"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1000)).alias("t"), F.col("id").alias("v"))
+    got = {r.id: r.v for r in N.asof_join(left.repartition(8), right.repartition(8), ["k"], "t", ["v"]).select("id", "v").collect()}
+    pairs = left.alias("l").join(right.alias("r"), "k").where("r.t <= l.t").groupBy("id").agg(F.max_by("v", F.struct("r.t", "v")).alias("v"))
+    expected = {r.id: r.v for r in left.select("id").join(pairs, "id", "left").collect()}
+    assert len(got) == 20_000 and got == expected
+
+
 def test_fallback(spark):
     have = spark.createDataFrame([(v,) for v in ("0.20.0", "0.20.1", "0.19.9", "1.0.0-rc.1", "0.20.1+b")], "version string")
     asked = spark.createDataFrame([(v,) for v in ("0.20.0", "0.20.7", "0.19.0", "1.0.3", "2.0.0", None)], "wanted string")
