@@ -107,6 +107,17 @@ def test_fallback(spark):
     assert got == {"0.20.0": "0.20.0", "0.20.7": "0.20.1+b", "0.19.0": "0.19.9", "1.0.3": "1.0.0-rc.1", "2.0.0": None, None: None}
 
 
+def test_fallback_over_several_ranges(spark, narrow):
+    have = spark.range(900).select(F.concat_ws(".", (F.col("id") % 3).cast("string"), (F.col("id") % 30).cast("string"), F.floor(F.col("id") / 90).cast("string")).alias("version"))
+    asked = spark.range(20_000).select("id", F.concat_ws(".", (F.col("id") % 3).cast("string"), (F.col("id") % 37).cast("string"), F.lit("77")).alias("wanted"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+    got = {r.id: r.version for r in C.fallback(asked.repartition(8), have.repartition(8)).select("id", "version").collect()}
+    newest = {}
+    for v in (tuple(map(int, r.version.split("."))) for r in have.collect()):
+        newest[v[:2]] = max(v, newest.get(v[:2], v))
+    show = lambda v: v and ".".join(map(str, v))
+    assert len(got) == 20_000 and got == {i: show(newest.get((i % 3, i % 37))) for i in range(20_000)}
+
+
 def test_places_stay_under_repartitioning(spark):
     rows = spark.range(500).withColumn("k", F.pmod(F.hash("id"), F.lit(40)))
     order = sorted((r.k, r.id) for r in rows.collect())
