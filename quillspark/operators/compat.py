@@ -62,10 +62,11 @@ def api_diff(asked: DataFrame, items: DataFrame, symbol: str = "symbol") -> Data
 
 
 def newest_release(index: DataFrame) -> DataFrame:
-    """name, stable, preview: the newest release that wasn't yanked, and a pre-release only if it is newer."""
+    """name, stable, preview: the newest release that wasn't yanked, and a pre-release only if it is newer. Of releases with
+    equal numbers the last text counts, so that the answer doesn't depend on the order of rows."""
     pre = F.col("vers").contains("-")
     live = index.where("NOT yanked")
-    pick = lambda cond: F.max_by(F.when(cond, F.col("vers")), F.when(cond, V.core("vers")))
+    pick = lambda cond: F.max(F.when(cond, F.struct(V.core("vers").alias("core"), "vers")))["vers"]
     out = live.groupBy("name").agg(pick(~pre).alias("stable"), pick(pre).alias("p"))
     newer = F.col("stable").isNull() | (V.core("p") > V.core("stable"))
     return out.select("name", "stable", F.when(newer, F.col("p")).alias("preview"))

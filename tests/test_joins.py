@@ -118,6 +118,13 @@ def test_fallback_over_several_ranges(spark, narrow):
     assert len(got) == 20_000 and got == {i: show(newest.get((i % 3, i % 37))) for i in range(20_000)}
 
 
+def test_newest_release_of_equal_numbers(spark):
+    vers = ["0.2.0", "0.2.0+b5", "0.2.0+a", "0.1.9+z", "0.3.0-rc.1", "0.3.0-rc.1+b", "0.3.0-rc.0"]
+    for rows in (vers, vers[::-1]):
+        got = C.newest_release(spark.createDataFrame([("x", v, False) for v in rows], "name string, vers string, yanked boolean").coalesce(1)).first()
+        assert (got.stable, got.preview) == ("0.2.0+b5", "0.3.0-rc.1+b")
+
+
 def test_places_stay_under_repartitioning(spark):
     rows = spark.range(500).withColumn("k", F.pmod(F.hash("id"), F.lit(40)))
     order = sorted((r.k, r.id) for r in rows.collect())
