@@ -81,7 +81,7 @@ class Corpus:
         out = exact.unionByName(merged)
         if key:
             rows = self.records.drop("docs", "signature") if any(not isinstance(c, str) for c in key) else self.records.select("dense_id", *key)
-            out = S.first_of(rows.join(F.broadcast(out), "dense_id"), key, [F.desc("score"), "dense_id"]).select("dense_id", "score")  # at most the pools and caps
+            out = S.first_of(rows.join(F.broadcast(out), "dense_id"), key, [F.round("score", 6).desc(), "dense_id"]).select("dense_id", "score")  # at most the pools and caps
         return out.orderBy(F.round("score", 6).desc(), "dense_id").limit(limit)
 
 

@@ -45,6 +45,12 @@ def test_lookup_and_indexes(spark, corpus):
     assert not I.token_index(r).where("dense_id = 4").count()
 
 
+def test_equal_definitions_collapse_by_the_rounded_score(spark, corpus, monkeypatch):
+    noisy = spark.createDataFrame([(0, 5.0), (1, 5.000000000001), (4, 7.0)], "dense_id long, score double")
+    monkeypatch.setattr("quillspark.operators.corpus.merge", lambda text, names: noisy)
+    assert [r.dense_id for r in corpus.search("ordering", key=["source"]).collect()] == [4, 0]
+
+
 def test_suggestions(spark):
     assert S.suggestions(records(spark), "Comands").first().dense_id == 2
     assert S.suggestions(records(spark), "EventSystem").first().dense_id == 1
