@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..session import ship
+from ..session import shared_dir, ship
 
 # Parameter types without tracked access.
 FREE = {"Local", "Commands", "Deferred", "In", "EventReader", "EventWriter", "MessageReader", "MessageWriter", "RemovedComponents"}
@@ -15,6 +19,11 @@ RESOURCES = {"Res": ("resource", False), "ResMut": ("resource", True), "NonSend"
 
 ACCESS = "system string, idx int, owner int, grp int, kind string, name string, mutable boolean, withs array<string>, withouts array<string>, ors array<array<struct<w:array<string>,wo:array<string>>>>, param string"
 
+#: Types whose parse a worker remembers; what they give is only read.
+CACHED = 10_000
+#: Sources whose accesses leave a worker in one batch.
+BATCH = 500
+
 
 def _strip(code: str) -> str:
     """Code without comments and with empty strings."""
@@ -55,6 +64,7 @@ def functions(code: str) -> list[tuple[str, list[str]]]:
     return out
 
 
+@lru_cache(CACHED)
 def parts(ty: str) -> tuple[str, list[str]]:
     """Last identifier of a path type and its type arguments (lifetimes left out)."""
     m = re.match(r"(?:[\w:]*::)?(\w+)\s*(?:<(.*)>)?$", ty.strip(), re.S)
@@ -63,16 +73,19 @@ def parts(ty: str) -> tuple[str, list[str]]:
     return m[1], [a for a in split_top(m[2] or "") if not a.startswith("'")]
 
 
+@lru_cache(CACHED)
 def _reference(ty: str) -> tuple[bool, str] | None:
     m = re.match(r"&\s*(?:'\w+\s+)?(mut\s+)?(.+)$", ty.strip(), re.S)
     return (bool(m[1]), m[2].strip()) if m else None
 
 
+@lru_cache(CACHED)
 def _items(ty: str) -> list[str] | None:
     ty = ty.strip()
     return split_top(ty[1:-1]) if ty.startswith("(") and ty.endswith(")") else None
 
 
+@lru_cache(CACHED)
 def filter_atoms(ty: str) -> tuple[set, set, list]:
     """With, Without, and the branches of each Or as (with, without) pairs."""
     if (inner := _items(ty)) is not None:
@@ -90,6 +103,7 @@ def filter_atoms(ty: str) -> tuple[set, set, list]:
     return set(), set(), []
 
 
+@lru_cache(CACHED)
 def _data(ty: str, need: bool = True):
     """(component, mutable, required) of query data."""
     if (inner := _items(ty)) is not None:
@@ -145,9 +159,22 @@ def accesses(code: str) -> list[tuple]:
 
 
 def extract(sources: DataFrame, code: str) -> DataFrame:
+    """Rows of ACCESS of every source, parsed in Arrow batches."""
     ship(sources.sparkSession)
-    udf = F.udf(accesses, f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in ACCESS.split(', '))}>>", useArrow=True)
-    return sources.select(F.explode(udf(code)).alias("a")).select("a.*")
+    schema = to_arrow_schema(StructType.fromDDL(ACCESS))
+
+    def parse(batches):
+        import pyarrow as pa
+
+        pairs = lambda ors: [[{"w": w, "wo": wo} for w, wo in o] for o in ors]
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for at in range(0, len(texts), BATCH):
+                rows = [(*a[:9], pairs(a[9]), a[10]) for x in texts[at : at + BATCH] for a in accesses(x)]
+                columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return sources.select(code).mapInArrow(parse, ACCESS)
 
 
 def disjoint(a: str, b: str) -> Column:
@@ -159,8 +186,16 @@ def disjoint(a: str, b: str) -> Column:
 
 
 def conflicts(rows: DataFrame) -> DataFrame:
-    """system, rule, code, name, owner_a, owner_b: pairs of accesses of one system to one thing, joined on it."""
-    a, b = rows.alias("a"), rows.alias("b")
+    """system, rule, code, name, owner_a, owner_b: pairs of accesses of one system to one thing, joined on it.
+
+    The rows are written once, so that each source is parsed once and not for each side of a join. Both sides are dealt by
+    the system and sorted: how many rows a source gives can't be told from its size, and a side taken for small would go
+    through the driver whole.
+    """
+    spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/accesses-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    a, b = rows.alias("a"), rows.alias("b").hint("merge")
     c = F.col
     same = (c("a.system") == c("b.system")) & (c("a.kind") == c("b.kind")) & (c("a.name") == c("b.name")) & (c("a.idx") < c("b.idx"))
     free = F.coalesce(c("a.grp") == c("b.grp"), F.lit(False))
@@ -171,7 +206,7 @@ def conflicts(rows: DataFrame) -> DataFrame:
         .when((c("a.kind") == "resource") & any_, "R3").when((c("a.kind") == "non_send") & any_, "R4")
     )
     pairs = a.join(b, same).where(~free & ~own).select("a.system", rule.alias("rule"), c("a.name").alias("name"), c("a.owner").alias("owner_a"), c("b.owner").alias("owner_b")).where("rule IS NOT NULL")
-    world = rows.where("kind = 'world' AND mutable").alias("a").join(rows.alias("b"), (c("a.system") == c("b.system")) & (c("a.owner") != c("b.owner")))
+    world = rows.where("kind = 'world' AND mutable").alias("a").join(b, (c("a.system") == c("b.system")) & (c("a.owner") != c("b.owner")))
     world = world.select("a.system", F.lit("R5").alias("rule"), F.lit("World").alias("name"), c("a.owner").alias("owner_a"), c("b.owner").alias("owner_b"))
     every = pairs.unionByName(world).distinct()
     return every.withColumn("code", F.when(F.col("rule").isin("R1", "R2"), "B0001").otherwise("B0002"))

@@ -153,7 +153,8 @@ def access_conflicts(spark, sf):
     res = lambda k, name, mutable: F.concat(F.lit(f"{k}: Res"), F.when(mutable, "Mut").otherwise(""), F.lit("<R"), name, F.lit(">"))
     params = F.concat_ws(", ", query_("a", c % 3, o % 2 == 0, o % 5), query_("b", o % 3, c % 2 == 0, c % 5), res("c", o % 4, o % 3 == 0), res("d", c % 4, c % 3 == 0), F.when(o % 7 == 0, "w: &mut World"))
     code = F.concat(F.lit("// fn not_this(a: Query<&mut X>) {}\nfn sys"), o, F.lit("("), params, F.lit(") { let s = \"fn nor_this(q: Query<&mut X>)\"; }"))
-    return Y.conflicts(Y.extract(R.table(spark, sf, "orders").select(code.alias("code")), "code"))
+    keys = R.table(spark, sf, "orders").select("o_orderkey", "o_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a small file gives much text to parse
+    return Y.conflicts(Y.extract(keys.select(code.alias("code")), "code"))
 
 
 # Messages of each order: a code in brackets or alone, a type with nested generics, a reference.

@@ -163,6 +163,14 @@ def test_feature_rules_in_order(spark):
     assert open_["off"] is None and open_["iPlu"] is None and open_["on"] and open_["nobody"] is False
 
 
+def test_conflicts_send_no_side_through_the_driver(spark):
+    code = "fn a(x: Query<&mut C, Without<T>>, y: Query<&C>, z: Query<&C, Or<(With<T>, With<T>)>>, r: Res<R>, s: ResMut<R>, w: &mut World) {}"
+    out = Y.conflicts(Y.extract(spark.createDataFrame([(code,), ("no code",), (None,)], "code string"), "code"))
+    got = sorted((r.rule, r.name, r.owner_a, r.owner_b, r.code) for r in out.collect())
+    assert got == [("R1", "C", 0, 1, "B0001"), ("R3", "R", 3, 4, "B0002"), *(("R5", "World", 5, k, "B0002") for k in range(5))]
+    assert "Broadcast" not in plan(out)
+
+
 def test_messages(spark):
     d = spark.createDataFrame([("error[B0002]: ResMut<A<B<C<D<E>>>>> here",), ("B0001 Res<X",), ("B0001 Res<>",), (None,)], "m string")
     got = [r.e for r in d.select(Y.parse_error("m").alias("e")).collect()]
