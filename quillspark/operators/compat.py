@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import versions as V
-from .intervals import asof_join, interval_join
+from .intervals import interval_join
 
 
 def kleene_or(verdict: Column) -> Column:
@@ -39,15 +39,17 @@ def matrix(asked: DataFrame, compat: DataFrame) -> DataFrame:
 
 def fallback(requests: DataFrame, installed: DataFrame) -> DataFrame:
     """Each request (column ``wanted``) with ``version``: the installed version of that name, else the newest of its minor
-    line, by a join on the last installed version before the line's end; null where the line has none."""
-    have = installed.select("version").where("version IS NOT NULL").distinct()
-    line = lambda core: [core["major"].alias("_major"), core["minor"].alias("_minor")]
-    r = have.select(*line(V.core("version")), V.core("version")["patch"].alias("_patch"), F.col("version").alias("_newest"))
-    q = requests.withColumn("_c", V.core("wanted")).select("*", *line(F.col("_c")), F.when(F.col("wanted").isNotNull(), F.lit(2**63 - 1)).alias("_patch")).drop("_c")
-    near = asof_join(q, r, ["_major", "_minor"], "_patch", ["_newest"])
+    line, of versions with equal numbers the last text; null where the line has none. Only a request that begins with two
+    numbers and dots has a line: 0.-5.2 and junk aren't of 0.0. The newest is found once a line, before requests are joined,
+    so that requests needn't be sorted within their line."""
+    have, core = installed.select("version").where("version IS NOT NULL").distinct(), V.core("version")
+    newest = have.groupBy(core["major"].alias("_major"), core["minor"].alias("_minor")).agg(F.max(F.struct(core["patch"].alias("patch"), "version"))["version"].alias("_newest"))
+    parts = F.split("wanted", r"\.")
+    number = lambda i: F.when(F.get(parts, F.lit(i)).rlike(r"^\d+\z"), F.get(parts, F.lit(i)).try_cast("bigint"))
+    near = requests.withColumns({"_major": number(0), "_minor": number(1)}).join(newest, ["_major", "_minor"], "left")
     exact = have.select(F.col("version").alias("_exact"))
     out = near.join(exact, F.col("wanted") == F.col("_exact"), "left")
-    return out.withColumn("version", F.coalesce("_exact", "_newest")).drop("_major", "_minor", "_patch", "_newest", "_exact")
+    return out.withColumn("version", F.coalesce("_exact", "_newest")).drop("_major", "_minor", "_newest", "_exact")
 
 
 def api_diff(asked: DataFrame, items: DataFrame, symbol: str = "symbol") -> DataFrame:

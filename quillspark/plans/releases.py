@@ -57,10 +57,15 @@ RANGES_SQL = f"""(SELECT DISTINCT requires, CASE WHEN mark IN (0, 3, 6) THEN row
   WHEN mark = 0 THEN CASE WHEN a > 0 THEN row(a + 1, 0, 0) WHEN b > 0 THEN row(0, b + 1, 0) ELSE row(0, 0, c + 1) END END AS hi FROM ({REQUIREMENT_SQL}))"""
 
 
+def dotted(*numbers):
+    """The numbers with dots between; null if one is null, as with SQL's ||."""
+    return F.concat(numbers[0], *(x for n in numbers[1:] for x in (F.lit("."), n)))
+
+
 def versions(spark, sf):
     """p_partkey and a version of every part."""
     suffix = F.when(F.col("p_partkey") % 17 == 0, "-rc.1").when(F.col("p_partkey") % 17 == 1, "+b5").otherwise("")
-    numbers = F.format_string("%d.%d.%d", F.col("p_partkey") % 2, F.col("p_partkey") % 23, F.col("p_size") % 7)
+    numbers = dotted(F.col("p_partkey") % 2, F.col("p_partkey") % 23, F.col("p_size") % 7)
     return R.table(spark, sf, "part").select("p_partkey", "p_name", "p_size", F.concat(numbers, suffix).alias("version"))
 
 
@@ -100,7 +105,7 @@ asked AS (SELECT o_orderkey, (o_orderkey % 2) || '.' || (o_custkey % 29) || '.'
 SELECT o_orderkey, wanted, coalesce(i.version, n.version) AS version FROM asked q ASOF LEFT JOIN newest n ON q.a = n.a AND q.b = n.b AND q.c >= n.c LEFT JOIN installed i ON i.version = q.wanted""")
 def version_fallback(spark, sf):
     """The installed version that answers each order's: its own, else the newest of its minor line."""
-    asked = R.table(spark, sf, "orders").select("o_orderkey", F.format_string("%d.%d.%d", F.col("o_orderkey") % 2, F.col("o_custkey") % 29, F.col("o_orderkey") % 9).alias("wanted"))
+    asked = R.table(spark, sf, "orders").select("o_orderkey", dotted(F.col("o_orderkey") % 2, F.col("o_custkey") % 29, F.col("o_orderkey") % 9).alias("wanted"))
     return C.fallback(asked, versions(spark, sf).where("p_partkey % 3 = 0")).select("o_orderkey", "wanted", "version")
 
 

@@ -12,6 +12,7 @@ from quillspark.operators import intervals as N
 from quillspark.operators import ordinal as O
 from quillspark.operators import similar as S
 from quillspark.operators import systems as Y
+from quillspark.plans import releases
 
 
 def plan(df):
@@ -118,6 +119,27 @@ def test_fallback_over_several_ranges(spark, narrow):
     assert len(got) == 20_000 and got == {i: show(newest.get((i % 3, i % 37))) for i in range(20_000)}
 
 
+def test_fallback_of_requests_without_a_line(spark):
+    have = spark.createDataFrame([(v,) for v in ("0.0.3", "0.0.6-rc.1", "0.5.1", "junk")], "version string")
+    wanted = ["0.-5.2", "-1.0.3", "-1.-6.-7", "junk", "trash", "", "0", "null.0.null", "0.null.4", "0.5.-2", "0.0.9"]
+    got = {r.wanted: r.version for r in C.fallback(spark.createDataFrame([(w,) for w in wanted], "wanted string"), have).collect()}
+    assert got == dict.fromkeys(wanted) | {"junk": "junk", "0.5.-2": "0.5.1", "0.0.9": "0.0.6-rc.1"}
+
+
+def test_version_fallback_of_odd_keys_equals_sql(spark, tmp_path):
+    """Keys without a value and below zero, on both sides."""
+    duckdb = pytest.importorskip("duckdb")
+    hole = lambda value, k: F.when(F.col("id") % k > 0, value)
+    orders = spark.range(3000).select(hole(F.col("id") - 1000, 53).alias("o_orderkey"), hole(F.col("id") * 7 % 3000 - 1500, 31).alias("o_custkey"))
+    part = spark.range(900).select(hole(F.col("id") - 300, 37).alias("p_partkey"), F.lit("x").alias("p_name"), hole((F.col("id") % 50).cast("int"), 41).alias("p_size"))
+    con = duckdb.connect()
+    for name, rows in (("orders", orders), ("part", part)):
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [tuple(r) for r in releases.version_fallback(spark, str(tmp_path)).select("o_orderkey", "wanted", "version").collect()]
+    assert sorted(got, key=repr) == sorted(con.execute(releases.SQL["version_fallback"]).fetchall(), key=repr)
+
+
 def test_newest_release_of_equal_numbers(spark):
     vers = ["0.2.0", "0.2.0+b5", "0.2.0+a", "0.1.9+z", "0.3.0-rc.1", "0.3.0-rc.1+b", "0.3.0-rc.0"]
     for rows in (vers, vers[::-1]):
