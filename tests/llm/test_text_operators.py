@@ -194,6 +194,23 @@ def test_jaccard_of_many_near_copies(spark, monkeypatch, small, seed):
     assert got == dict(enumerate(label))
 
 
+@pytest.mark.parametrize("gb", [0.5, 6, 60])
+def test_jaccard_counting_sends_rows_in_proportion(gb):
+    """A row of a block's part keeps its size, so there are no more rows a GB on larger inputs (6 GB had 16 times as many as 0.5 GB)."""
+    bits = q6._bits(round(1.7e9 * gb), round(100 * gb))
+    assert q6._block(bits) >> bits >= 200
+    assert 1.7e9 * gb / (1 << bits) <= q6.PART_BYTES
+
+
+def test_jaccard_counts_every_shared_shingle_of_many_blocks(spark, monkeypatch):
+    """Keys of the nodes over small blocks and parts: one shingle in every other document, and blocks without a shared one."""
+    monkeypatch.setattr(q6, "BLOCK", 40)
+    rows = [(i, " ".join([f"d{i}w{j}" for j in range(9)] + (["in", "all", "of", "them"] if i % 2 and i < 40 else []))) for i in range(80)]
+    shared = table(spark, rows).repartition(2, "doc_id").mapInArrow(q6._requests(4, 4), q6._REQUESTS).groupBy("part").applyInArrow(q6._shared, q6._SHARED)
+    got = {r.doc_id: (r.n, r["keys"] and len(r["keys"])) for r in shared.groupBy("block").applyInArrow(q6._prefixes(1), q6._NODES).collect()}
+    assert got == {i: (len(set(q6.shingle_set(t, 4).tolist())), 1 if i % 2 and i < 40 else None) for i, t in rows}
+
+
 def test_spaced_seeds_bear_substitutions(spark):
     item = [f"token{i}" for i in range(30)]
     changed = [w if i not in (9, 20) else "other" for i, w in enumerate(item)]
