@@ -32,56 +32,60 @@ class Corpus:
     def add(self, records: DataFrame, segment: str) -> None:
         """Indexes records whose dense_id isn't in yet; fields (members of types) have no text."""
         if "name" in self.text.boosts:  # a step that a broken-off call has finished is kept
-            for table, rows in ((self.symbols, I.symbol_index(records)), (self.names, I.token_index(records))):
+            for table, rows in ((self.symbols, I.symbol_index(records, None)), (self.names, I.token_index(records, None))):
                 if segment not in table.segments():
-                    table.write(rows, segment, ["ord"])
+                    table.write(rows, segment, ["dense_id"])
         texts = records.where("kind <> 'field' OR kind IS NULL").select(F.col("dense_id").alias("id"), *(field_tokens(f).alias(f) for f in self.text.boosts))
         self.text.add(texts, segment)
 
-    def postings(self, table: KeyedTable, keys: list[str], cap: int) -> DataFrame:
-        """dense_id of the first ``cap`` records of each key over all segments: at most cap rows a key."""
+    def postings(self, table: KeyedTable, keys: list[str], cap: int | None = None) -> DataFrame:
+        """dense_id of the records of some keys over all segments; ``cap``: the first so many of each key."""
         found = table.read(keys) if keys else None
         if found is None:
             return self.spark.createDataFrame([], "dense_id long")
         return I.capped(found.select(table.key, "dense_id"), table.key, cap).select("dense_id").distinct()
 
-    def lookup(self, query: str) -> DataFrame:
-        """Records of a symbol key, with score and rank."""
+    def lookup(self, query: str, cap: int | None = SYMBOL_CAP) -> DataFrame:
+        """Records of a symbol key, with score and rank; None: all of them."""
         key = X.py_norm_key(query)
-        found = self.postings(self.symbols, [key], SYMBOL_CAP)
+        found = self.postings(self.symbols, [key], cap)
+        found = found if cap is None else F.broadcast(found)
         whole = X.norm_key("full_path") == key if "::" in key else F.lit(False)
-        return self.records.join(F.broadcast(found), "dense_id").withColumn("score", F.when(whole, 1100.0).otherwise(1000.0)).withColumn("rank", S.symbol_rank())
+        return self.records.join(found, "dense_id").withColumn("score", F.when(whole, 1100.0).otherwise(1000.0)).withColumn("rank", S.symbol_rank())
 
     def search(self, query: str, filters: Column | None = None, limit: int = 8, pool: int = POOL, key: list[str | Column] | None = None) -> DataFrame:
         """dense_id, score, best first: exact names in a band of their own, then text and name evidence merged.
 
         Text: the pool of the k best with all terms and the k best with any, cut before the filters. Names: records of the
         words' postings, only where no exact record passed. Both are merged by id: the text's share of the best text
-        score, times 850, counts in full alone and at 0.3 beside a name. ``key``: one row of equals, the best.
+        score, times 850, counts in full alone and at 0.3 beside a name. ``key``: one row of equals, the best. Postings
+        are read whole, so exact and name records can be any number: they are joined, not sent out or gathered.
         """
         terms, surfaces, subjects = X.py_query_terms(query), X.py_query_words(query), X.py_subjects(query)
         ok = F.lit(True) if filters is None else filters
         pool = max(pool, limit * 100) if filters is not None else pool
-        exact = self.lookup(query).where(ok).select("dense_id", (10000 + F.col("score") * S.record_weight()).alias("score"))
-        exact_ids = [r.dense_id for r in exact.select("dense_id").collect()]  # at most the postings' cap
+        exact = self.lookup(query, None).where(ok).select("dense_id", (10000 + F.col("score") * S.record_weight()).alias("score"))
+        found = not exact.isEmpty()
         weight, boost = S.record_weight(), S.relevance(subjects, surfaces)
         keep = [c for c in ("dense_id", "kind", "source", "name", "owner", "full_path", "module", "docs", "signature") if c in self.records.columns]
 
-        hits = self.text.search(terms, pool).select(F.col("id").alias("dense_id"), F.col("score").alias("bm25")).where(~F.col("dense_id").isin(exact_ids))
+        hits = self.text.search(terms, pool).select(F.col("id").alias("dense_id"), F.col("score").alias("bm25"))
+        if found:
+            hits = hits.join(exact, "dense_id", "left_anti")
         text = self.records.where(ok).select(*keep).join(F.broadcast(hits), "dense_id")  # at most two pools
         text = S.prepare(text).select("dense_id", (F.col("bm25") * weight * boost * S.docs_coverage(subjects)).alias("text_raw"))
 
         covered = S.name_coverage(subjects)
         concept = F.col("kind").isin(*DEFINITIONS) | (covered == len(subjects))
-        candidates = self.postings(self.names, [] if exact_ids else terms, TOKEN_CAP)  # the cap for each term
-        names = S.prepare(self.records.where(ok).select(*keep).join(F.broadcast(candidates), "dense_id")).where(covered > 0)
+        candidates = self.postings(self.names, [] if found else terms)
+        names = S.prepare(self.records.where(ok).select(*keep).join(candidates, "dense_id")).where(covered > 0)
         names = names.select("dense_id", (F.when(concept, 240.0).otherwise(90.0) * weight * boost).alias("name_raw"))
 
         merged = merge(text, names)
         out = exact.unionByName(merged)
         if key:
             rows = self.records.drop("docs", "signature") if any(not isinstance(c, str) for c in key) else self.records.select("dense_id", *key)
-            out = S.first_of(rows.join(F.broadcast(out), "dense_id"), key, [F.round("score", 6).desc(), "dense_id"]).select("dense_id", "score")  # at most the pools and caps
+            out = S.first_of(rows.join(out, "dense_id"), key, [F.round("score", 6).desc(), "dense_id"]).select("dense_id", "score")
         return out.orderBy(F.round("score", 6).desc(), "dense_id").limit(limit)
 
 

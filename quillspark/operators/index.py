@@ -43,12 +43,15 @@ def facets(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def capped(pairs: DataFrame, key: str, cap: int) -> DataFrame:
+def capped(pairs: DataFrame, key: str, cap: int | None) -> DataFrame:
+    """The first ``cap`` records of each key, with their places as ``ord``; None: all, without places."""
+    if cap is None:
+        return pairs
     w = Window.partitionBy(key).orderBy("dense_id")
     return pairs.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= cap)
 
 
-def symbol_index(records: DataFrame, cap: int = SYMBOL_CAP) -> DataFrame:
+def symbol_index(records: DataFrame, cap: int | None = SYMBOL_CAP) -> DataFrame:
     """key, dense_id, ord: keys of name, path, owner and module, paths also without the record's crate, first ``cap`` records of each."""
     name, owner = X.base_name("name"), F.coalesce(X.base_name("owner"), F.lit(""))
     leaf, crate = X.norm_key(name), F.coalesce(X.norm_key("crate_name"), F.lit("")) if "crate_name" in records.columns else F.lit("")
@@ -60,7 +63,7 @@ def symbol_index(records: DataFrame, cap: int = SYMBOL_CAP) -> DataFrame:
     return capped(pairs, "key", cap)
 
 
-def token_index(records: DataFrame, cap: int = TOKEN_CAP) -> DataFrame:
+def token_index(records: DataFrame, cap: int | None = TOKEN_CAP) -> DataFrame:
     """term, dense_id, ord: words of names and owners; fields have none."""
     tokens = F.array_distinct(F.concat(X.name_tokens(X.base_name("name")), X.name_tokens(X.base_name(F.coalesce("owner", F.lit(""))))))
     pairs = records.where("source = 'rustdoc' AND kind <> 'field'").select(F.explode(tokens).alias("term"), "dense_id")

@@ -13,7 +13,7 @@ from ..sources import records as R
 from ..storage import Files
 
 #: Raised when what is written changes.
-LAYOUT = 1
+LAYOUT = 2
 
 
 def _root(spark: SparkSession, sf: str, table: str) -> str:

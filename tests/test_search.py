@@ -51,6 +51,17 @@ def test_equal_definitions_collapse_by_the_rounded_score(spark, corpus, monkeypa
     assert [r.dense_id for r in corpus.search("ordering", key=["source"]).collect()] == [4, 0]
 
 
+def test_no_record_of_a_common_word_or_key_is_left_out(spark, tmp_path):
+    """Equal records beyond the postings' caps of old (1,000 a word, 60 a key) score like the first ones."""
+    same = spark.range(1100).select(F.col("id").alias("dense_id"), *(F.lit(v).alias(c) for c, v in (("source", "rustdoc"), ("kind", "struct"), ("name", "BlueGear"), ("owner", ""), ("full_path", "a::BlueGear"), ("module", "a"), ("docs", "A gear."), ("signature", "struct BlueGear"), ("source_ref", ""), ("hash", ""))))
+    c = Corpus(spark, str(tmp_path), same, buckets=2)
+    c.add(same, "all")
+    for query in ("gear handling", "BlueGear"):
+        got = c.search(query, limit=2000)
+        assert got.count() == 1100 and got.select("score").distinct().count() == 1, query
+    assert c.lookup("BlueGear").count() == 60
+
+
 def test_suggestions(spark):
     assert S.suggestions(records(spark), "Comands").first().dense_id == 2
     assert S.suggestions(records(spark), "EventSystem").first().dense_id == 1
